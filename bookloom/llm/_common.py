@@ -96,3 +96,14 @@ def repeats(spots: DataFrame, key: list[str], place: list[str]) -> DataFrame:
     least = F.min(F.struct(*place))
     known = spots.groupBy(*key).agg(least.alias("__bl_least"), F.count(F.lit(1)).alias("__bl_n")).where("__bl_n > 1")
     return spots.join(known, key).withColumn("__bl_first", F.struct(*place).eqNullSafe(F.col("__bl_least"))).drop("__bl_least")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` isn't among the keys in ``gone`` (one column); rows of a null key stay.
+
+    Only rows that may go are shuffled.
+    """
+    g = saved(gone.toDF("__bl_gone").where("__bl_gone is not null").distinct(), "gone_keys")
+    maybe, clean = split_by_keys(rows.withColumn("__bl_gone", F.col(key)), g, ["__bl_gone"])
+    left = maybe.drop("__bl_gone").join(g, F.col(key) == F.col("__bl_gone"), "left_anti")
+    return left.unionByName(clean.drop("__bl_gone"))
