@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import _bytes
 from ._common import repeats, saved, split_by_keys
 
@@ -79,6 +80,7 @@ def cuts(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, t, digest, start, size) of every chunk, in bytes; ``t`` is the text's hash."""
+    ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("digest", pa.binary(16)), ("start", pa.int64()), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 WINDOW = 13
 #: Words of the benchmark in one automaton (a few hundred bytes each).
 BLOCK_WORDS = 1_000_000
@@ -139,6 +141,7 @@ def contamination(
     ``word_spans`` are half-open ranges of word numbers, merged; ``char_spans``
     the same in code points of the original text.
     """
+    ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     parts = [sc.broadcast(_patterns(b, window)) for b in _blocks(benchmark, item_id, item_text, window, block_words)]
 

@@ -22,6 +22,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 DEEPEST, WIDEST = 200, 60
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -354,6 +356,8 @@ def render(html: str | None) -> str | None:
 def rendered(pages: DataFrame, html: str = "html", to: str = "rendered") -> DataFrame:
     """``pages`` with all its columns and ``to``."""
 
+    ship(pages.sparkSession)
+
     @F.pandas_udf("string")
     def of(pages_html):
         import pandas as pd

@@ -32,6 +32,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import _bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -213,6 +214,7 @@ def _distinct(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 def train(docs: DataFrame, use: Column, vocabulary: str = VOCABULARY, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on rows for which ``use`` holds and lang and text aren't null."""
+    ship(docs.sparkSession)
     own = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.lower(F.col(text)).alias("text"))
     sizes = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
     lexicon = Lexicon.of(pieces(vocabulary))
@@ -258,6 +260,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import _bytes
 from ._common import FILTER_BITS, saved
 from .graph import components
@@ -198,6 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, distance: int = DISTANCE
     """
     if distance > DISTANCE:
         raise ValueError(f"{CHUNKS} chunks with {ERRORS} error cover a distance of {DISTANCE} at most")
+    ship(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = saved(features(docs).withColumn("rid", F.monotonically_increasing_id()), "near_rows")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import _bytes
 from .gbdt import Trees, fit
 
@@ -106,6 +107,7 @@ def _block(b: np.ndarray, o: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Trees:
     """Trees fitted on labelled documents for whose ``doc_id`` ``use`` holds."""
+    ship(docs.sparkSession)
     rows = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & use)
     rows = rows.select(F.col(doc_id).alias("id"), (F.col(label) > 0).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     known = docs.join(F.broadcast(rows), F.col(doc_id) == F.col("id")).select("id", "y", F.col(text).cast("string").alias("text"))
@@ -124,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality
 
 def scored(docs: DataFrame, model: Trees, text: str = "text", to: str = "score") -> DataFrame:
     """``docs`` with all its columns and ``to``, the score of each text."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

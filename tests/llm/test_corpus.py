@@ -72,8 +72,11 @@ def test_contamination(spark):
             assert any((r.n_words, r.n_hit, r.item_ids) == want for r in by_id[i]), i
             for r in by_id[i]:
                 assert sum(s.past - s.first for s in r.word_spans) == r.n_hit
-    spans = next(r for r in got if r.doc_id >= 50 and r.n_hit > 20).char_spans
-    assert spans[0].start > 0
+    by_text = {i: t for i, t, *_ in rows}
+    for r in got:
+        if r.doc_id is not None:
+            for w, c in zip(r.word_spans, r.char_spans, strict=True):
+                assert decontaminate.words(by_text[r.doc_id][c.start : c.end]) == decontaminate.words(by_text[r.doc_id])[w.first : w.past]
     assert decontaminate.contamination(docs(spark, rows), bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
 
