@@ -3,7 +3,7 @@
 Of all document rates r with the given token totals by source, the one nearest
 to the prior rates q in relative entropy (by token) is exponentially tilted:
 r = min(cap, q * exp(lambda of the source)).  The convex dual in lambda is
-solved by damped Newton steps, for all sources at once and where their sums
+solved by safeguarded Newton steps, for all sources at once and where their sums
 are: the documents are summed once by source and prior rate, a prior is held
 to a thousandth, and so each source's problem is one row of bounded size.
 Rates then become whole copies by systematic rounding along the documents of a
@@ -28,6 +28,10 @@ SHARE, CAP = 1.5, 2.0
 #: Runs by hash within a source's size class.
 SALTS = 64
 NEWTON_STEPS = 64
+#: Below this logarithm a rate is as good as 0.
+LOWEST = -40.0
+#: Rates are rounded to so many parts of one, for whole-number arithmetic.
+PARTS = 10**7
 
 
 def word_count(text: Column) -> Column:
@@ -57,28 +61,36 @@ def targets(sources: DataFrame, share: float = SHARE, cap: float = CAP, weights:
 
 
 def tilt(cells: Column, target: Column, cap: float = CAP, steps: int = NEWTON_STEPS) -> Column:
-    """lambda of a source from its cells (array of q, size): Newton on the dual, each step at most 1 long.
+    """lambda of a source from its cells (array of q, size): Newton on the dual, kept inside a bracket of its root.
 
     The dual's slope is the words taken less the target and its curvature the
-    words taken by documents below the cap.  Its root is -infinity for a target
-    of 0, which 64 steps of 1 reach well enough to round to no copies.
+    words taken by documents below the cap.  Beyond the bracket's upper end all
+    documents are at the cap; where a step would leave the bracket, it is
+    halved instead.  A target of 0 has its root at -infinity, which the lower
+    end reaches well enough to round to no copies.
     """
-    taken = lambda lam, free: F.aggregate(
-        cells,
-        F.lit(0.0),
-        lambda s, c: s + F.when((c["q"] * F.exp(lam) > cap) if not free else F.lit(False), F.lit(cap) * c["size"]).otherwise(
-            F.when((c["q"] * F.exp(lam) <= cap), c["q"] * F.exp(lam) * c["size"]).otherwise(F.lit(0.0))
-        ),
-    )
-    step = lambda lam: F.coalesce(F.try_divide(taken(lam, False) - target, taken(lam, True)), F.when(taken(lam, False) > target, 1.0).otherwise(0.0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda lam, _: lam - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step(lam))))
+    rate = lambda c, lam: c["q"] * F.exp(lam)
+    taken = lambda lam: F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.least(F.lit(cap), rate(c, lam)) * c["size"])
+    free = lambda lam: F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.when(rate(c, lam) < cap, rate(c, lam) * c["size"]).otherwise(F.lit(0.0)))
+    state = lambda lam, lo, hi: F.struct(lam.alias("lam"), lo.alias("lo"), hi.alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        over = taken(s["lam"]) - target
+        lo, hi = F.when(over > 0, s["lo"]).otherwise(s["lam"]), F.when(over > 0, s["lam"]).otherwise(s["hi"])
+        newton = s["lam"] - F.try_divide(over, free(s["lam"]))
+        return state(F.when((newton >= lo) & (newton <= hi), newton).otherwise((lo + hi) / 2), lo, hi)
+
+    top = F.log(F.lit(cap)) - F.log(F.array_min(F.transform(cells, lambda c: c["q"])))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state(F.least(F.lit(0.0), top), F.lit(LOWEST), top), step)
+    return found["lam"]
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", prior: str | None = None, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS, salts: int = SALTS) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken), a row per row of ``docs``."""
     q = F.lit(1.0) if prior is None else F.greatest(F.lit(0.001), F.round(F.coalesce(F.col(prior), F.lit(1.0)), 3))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), q.cast("double").alias("q"))
-    rows = rows.withColumn("class", F.floor(F.log1p(F.col("size").cast("double")) * 16)).withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(salts)))
+    rows = rows.withColumn("class", F.floor(F.log1p(F.col("size").cast("double")) * 16)).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    rows = rows.withColumn("salt", F.conv(F.substring("hash", 1, 6), 16, 10).cast("int") % salts)
     run = ["source", "q", "class", "salt"]
     runs = rows.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("run_size"))
     cells = runs.groupBy("source", "q").agg(F.sum("run_size").cast("double").alias("size"))
@@ -90,11 +102,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     along = Window.partitionBy("source", "q").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     placed = runs.withColumn("place", F.coalesce(F.sum("n").over(along), F.lit(0)))
     placed = placed.join(tilted, placed["source"].eqNullSafe(tilted["__s"])).select(*[F.col(c).alias(f"__{c}") for c in run], "place", "source_size", "target", F.least(F.lit(cap), F.col("q") * F.exp("lambda")).alias("rate"))
-    order = Window.partitionBy(*run).orderBy("size", F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy(*run).orderBy("size", "hash", "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(order))
     same = [rows[c].eqNullSafe(placed[f"__{c}"]) for c in run]
     rows = rows.join(placed, same[0] & same[1] & same[2] & same[3])
-    k = F.col("place") + F.col("nth")
-    copies = F.floor(F.col("rate") * k + 0.5) - F.floor(F.col("rate") * (k - 1) + 0.5)
-    rows = rows.withColumn("copies", F.least(copies, F.lit(int(cap))).cast("long"))
+    up_to = lambda k: F.expr(f"(cast(rate * {PARTS} + 0.5 as bigint) * ({k}) + {PARTS // 2}) div {PARTS}")
+    rows = rows.withColumn("copies", up_to("place + nth") - up_to("place + nth - 1"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

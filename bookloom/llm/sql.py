@@ -60,6 +60,27 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
 """
 
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS hash FROM documents
+),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(rank - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+f AS (
+  SELECT *, sum(source_size) OVER ()::DOUBLE * 1.5 - coalesce(sum(source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 2.0 AS rest,
+    sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM w
+),
+l AS (SELECT rest, open FROM f WHERE NOT rest * weight / open > source_size * 2.0 ORDER BY source_size / weight, rank LIMIT 1),
+t AS (SELECT f.source, source_size, coalesce(least(l.rest * weight / l.open, source_size * 2.0), source_size * 2.0)::DOUBLE AS target FROM f LEFT JOIN l ON true),
+k AS (
+  SELECT doc_id, size, source_size, target, floor(coalesce(target / nullif(source_size, 0), 0) * 10000000 + 0.5)::BIGINT AS parts,
+    row_number() OVER (PARTITION BY d.source ORDER BY floor(ln(1 + size) * 16), ('0x' || hash[:6])::BIGINT % 64, size, hash, doc_id) AS nth
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, size * ((parts * nth + 5000000) // 10000000 - (parts * (nth - 1) + 5000000) // 10000000) AS taken FROM k
+"""
+
 _ESCAPED = r"""length(replace({0}, '\', '\\')) + len(regexp_extract_all({0}, '<\||</?s>|<</?SYS>>|\[/?INST\]'))"""
 OP10 = rf"""
 WITH t AS (
@@ -74,4 +95,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op1_decontaminate": OP1, "op4_line_dedup": OP4, "op6_minhash_neardup": OP6, "op7_exact_dedup": OP7, "op10_chat_format": OP10}
+ORACLE: dict[str, str] = {"op1_decontaminate": OP1, "op4_line_dedup": OP4, "op6_minhash_neardup": OP6, "op7_exact_dedup": OP7, "op9_mix_sources": OP9, "op10_chat_format": OP10}

@@ -115,6 +115,17 @@ def test_mix(spark):
     assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in got}
 
 
+@pytest.mark.parametrize("share", [0.9, 1.76, 2.5])
+def test_mix_reaches_any_rate(spark, share):
+    """One source, and one with unequal priors, at targets up to the cap and beyond."""
+    rng = random.Random(7)
+    rows = [(i, sentence(rng, 20), "en", "a") for i in range(500)]
+    d = docs(spark, rows).withColumn("q", F.when(F.col("doc_id") % 4 == 0, 1.5).otherwise(0.4))
+    for prior in (None, "q"):
+        taken, target = mixing.mix(d, prior=prior, share=share).agg(F.sum("taken"), F.max("target")).first()
+        assert abs(target - min(2.0, share) * 10_000) < 1e-6 and abs(taken - target) <= 40
+
+
 def test_mix_with_prior_and_awkward_rows(spark):
     rng = random.Random(6)
     rows = [(i, sentence(rng, 20), "en", "ab"[i % 2]) for i in range(800)]
