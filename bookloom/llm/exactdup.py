@@ -4,14 +4,14 @@ A stream over the document files keeps, in RocksDB state without expiry, one
 entry per digest of a normalised text (A-Z lower-cased): the largest id, the
 number of texts and the locator (file and row) of the text that stays.  The
 state is then read as a table.  Digests seen more than once are hits: the full
-bytes of each are compared with those of the text that stays, and if any
-differ, the groups of that digest are formed anew by their full texts.
+bytes of all their texts are compared, and if any differ, the groups of that
+digest are formed anew by their full texts.
 
 Scale: the stream pre-aggregates before its shuffle, so a group that holds a
 third of all rows arrives as a few partial counts; the shuffle and the state
-hold digests, not texts.  Only the texts of hits are shuffled (a bit set of
-fixed size picks them out), and Spark may split that join where a digest is
-hot.  The stream goes on from its checkpoint with files that arrive later.
+hold digests, not texts.  Of the texts of hits (a bit set of fixed size picks
+them out) each task sends the least and the greatest by digest, so a hot digest
+is no hot spot; Spark may split the last join where a digest is hot.  The stream goes on from its checkpoint with files that arrive later.
 Only DataFrame functions are used.
 
 Defined cases: null text counts as empty; null ids are never preferred, and a
@@ -85,15 +85,17 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, d
     docs = docs.withColumn("digest", digest(F.col("norm")))
     sha = F.lower(F.hex("digest")) if digest is sha256 else F.sha2(F.col("norm").cast("binary"), 256)
 
-    multiple = known.where("n > 1").select("digest", "keep_id")
-    maybe, _ = split_by_keys(docs, multiple, ["digest"])
-    hits = saved(maybe.join(multiple, "digest"), "dedup_hits")
-    stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    collided = saved(hits.join(stays, "digest").where("norm <> kept_norm").select("digest").distinct(), "dedup_collisions")
-
-    plain = docs.select("doc_id", "digest", sha.alias("text_sha256")).join(F.broadcast(collided) if collided.isEmpty() else collided, "digest", "left_anti")
-    plain = plain.join(known.select("digest", "keep_id", "n"), "digest").select("doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256")
-    apart = hits.join(collided, "digest", "left_semi").select("doc_id", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    groups = apart.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    apart = apart.join(groups, "norm").select("doc_id", "keep_id", "group_size", "text_sha256")
-    return plain.unionByName(apart).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # a digest's texts are all equal if the least and the greatest of them are
+    maybe, _ = split_by_keys(docs, known.where("n > 1").select("digest"), ["digest"])
+    ends = maybe.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    collided = saved(ends.where("least <> greatest").select("digest"), "dedup_collisions")
+
+    names = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    by_digest, apart = docs, None
+    if not collided.isEmpty():
+        by_digest, apart = docs.join(collided, "digest", "left_anti"), docs.join(collided, "digest", "left_semi")
+    out = by_digest.select("doc_id", "digest", sha.alias("text_sha256")).join(known.select("digest", "keep_id", F.col("n").alias("group_size")), "digest").select(names)
+    if apart is not None:
+        groups = apart.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        out = out.unionByName(apart.select("doc_id", "norm", sha.alias("text_sha256")).join(groups, "norm").select(names))
+    return out.select(*names[:3], F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
