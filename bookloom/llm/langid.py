@@ -39,6 +39,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled texts for each language, about.
 SAMPLE = 1_000
 LONGEST, PIECE = 32, 12
+#: Bytes of text scored at once, and words in one forward pass: these bound a worker's memory.
+BLOCK, PASS = 4 << 20, 10_000
 UNKNOWN, ROUNDS, SMOOTH = 1e-7, 3, 0.05
 #: Probabilities are multiplied by this at each byte, so that products keep in range.
 _LIFT = 40.0
@@ -98,8 +100,8 @@ def lattices(lexicon: Lexicon, raw: np.ndarray, starts: np.ndarray, ends: np.nda
     length = ends - starts
     for n in np.unique(length):
         words = np.flatnonzero(length == n)
-        for k in range(0, len(words), 50_000):
-            own = words[k : k + 50_000]
+        for k in range(0, len(words), PASS):
+            own = words[k : k + PASS]
             m = int(n) + len(mark)
             b = np.empty((len(own), m), np.uint8)
             b[:, : len(mark)] = mark
@@ -245,6 +247,12 @@ def train(docs: DataFrame, use: Column, vocabulary: str = VOCABULARY, sample: in
 
 def predict(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Number of the likeliest language of each (lower-cased) text, and its posterior probability."""
+    _, offsets = _bytes.text_bytes(texts)
+    found = [_predict(texts.slice(i, j - i), model) for i, j in _bytes.blocks(offsets, BLOCK)]
+    return np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0)])
+
+
+def _predict(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     b, starts, ends, by_text = words_of(texts)
     one, which = _distinct(b, starts, ends)
     by_word = log_likelihood(model.lexicon, model.prob, b, starts[one], ends[one])
