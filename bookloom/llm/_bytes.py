@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked at once; temporary arrays take ~60 x that.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:

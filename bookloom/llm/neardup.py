@@ -4,11 +4,13 @@ A document's set holds 64-bit hashes of its distinct shingles of five words
 (A-Z lower-cased).  Equal sets form one class, and all further work is between
 classes.  A class has a signature of ``POSITIONS`` minima, ``BITS`` bits each.
 
-Two signatures are candidates if they differ in at most ``DISTANCE`` positions.
-They are cut into ``CHUNKS`` chunks; by the pigeonhole principle such a pair
-has a chunk with at most ``ERRORS`` errors, since otherwise there would be more
-than DISTANCE of them.  All ways to place the errors in a chunk are enumerated
-as keys that leave those positions out, so every such pair shares a key.
+Signatures are cut into ``CHUNKS`` chunks.  Two that differ in at most
+``DISTANCE`` positions have, by the pigeonhole principle, a chunk with at most
+``ERRORS`` errors, since otherwise there would be more than DISTANCE of them.
+All ways to place the errors in a chunk are enumerated as keys that leave those
+positions out, so every such pair shares a key.  Pairs that share a key but
+differ in up to ``FARTHEST`` positions are candidates too.  A pair that shares
+several keys is taken up at the first of them only.
 
 A key's members are not paired with each other at once.  In rounds, members
 are compared with a few leaders of their key; links are confirmed on the full
@@ -19,8 +21,8 @@ leaders, twice as many each round, if it is large.  So a group of n copies that
 resemble each other costs about n comparisons, yet no link between components
 is lost.
 
-Chance of a miss: a pair at similarity 0.85 differs in Binomial(40, 0.15)
-positions, over 15 of them with probability 2e-4, and less the nearer the pair.
+Chance of a miss: a pair at similarity 0.85 has no chunk of 7 positions with at
+most one error in 1.5e-4 of cases, and less the nearer the pair (0.9: 3e-6).
 
 Scale: classes, keys, pairs, sets and components are tables in the shared
 folder; nothing of corpus size reaches the driver or a broadcast (full sets are
@@ -36,7 +38,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +46,16 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import _bytes
-from ._common import FILTER_BITS, saved
+from ._common import FILTER_BITS, release, saved
 from .graph import components
 
 SHINGLE = 5
-POSITIONS, BITS = 40, 16
-CHUNKS, ERRORS = 8, 1
-#: The largest distance for which the pigeonhole principle holds.
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
+WIDTH, CHUNKS, ERRORS = 7, 7, 1
+POSITIONS, BITS = WIDTH * CHUNKS, 16
+#: Numbers of 64 bits in a signature; the last may be filled up with zeros.
+WORDS = -(-POSITIONS * BITS // 64)
+#: The largest distance for which the pigeonhole principle holds, and that of a candidate.
+DISTANCE, FARTHEST = CHUNKS * (ERRORS + 1) - 1, 18
 #: Members of a key up to which its open pairs are listed.
 SMALL = 32
 
@@ -86,17 +89,17 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[list[np.ndarray]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """POSITIONS x 16 bits for each set that isn't empty, in order."""
+    """POSITIONS x 16 bits, packed into WORDS numbers, for each set that isn't empty, in order."""
     full = [s for s in sets if len(s)]
     if not full:
-        return np.zeros((0, POSITIONS), ">u2")
+        return np.zeros((0, WORDS), np.int64)
     at = np.concatenate(([0], np.cumsum([len(s) for s in full])[:-1]))
     flat = np.concatenate(full)
-    out = np.empty((len(full), POSITIONS), ">u2")
+    out = np.zeros((len(full), 4 * WORDS), ">u2")
     for p in range(POSITIONS):
         least = np.minimum.reduceat((flat ^ _XOR[p]) * _MUL[p], at)
         out[:, p] = (least >> np.uint64(24)) & np.uint64(0xFFFF)
-    return out
+    return out.view(">i8").astype(np.int64)
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -105,28 +108,59 @@ def digest(s: np.ndarray) -> bytes:
 
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, digest, sig) of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for sets in shingle_sets(batch.column(1)):
-                sig = iter(signatures(sets))
-                rows = [(len(s), digest(s), next(sig).tobytes()) if len(s) else (0, b"", None) for s in sets]
-                n, d, g = (list(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(sets)), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(g, pa.binary())], schema=schema)
+                n = np.array([len(s) for s in sets], np.int64)
+                at = pa.array(np.concatenate(([0], np.cumsum(WORDS * (n > 0)))).astype(np.int32))
+                sig = pa.ListArray.from_arrays(at, pa.array(signatures(sets).ravel()))
+                digests = pa.array([digest(s) if len(s) else b"" for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(sets)), pa.array(n), digests, sig], schema=schema)
                 done += len(sets)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig array<long>")
+
+
+def _mask(p: int) -> int:
+    """The bits of position p in its number, signed."""
+    m = 0xFFFF << 48 - 16 * (p % 4)
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _position(sig: str, p: int):
+    return F.col(sig)[p // 4].bitwiseAND(F.lit(_mask(p)))
+
+
+def _errors(x: str, y: str, c: int) -> str:
+    at = range(c * WIDTH, (c + 1) * WIDTH)
+    return "(" + " + ".join(f"if(({x}.sig[{p // 4}] ^ {y}.sig[{p // 4}]) & {_mask(p)}L = 0, 0, 1)" for p in at) + ")"
+
+
+def _resemble(x: str, y: str, farthest: int) -> str:
+    """SQL: do the signatures of x and y differ in at most ``farthest`` positions?"""
+    return " + ".join(_errors(x, y, c) for c in range(CHUNKS)) + f" <= {farthest}"
+
+
+def _first_key(x: str, y: str) -> str:
+    """SQL: is this key, of chunk ``x.c`` without position ``x.g``, the first that x and y share?
+
+    With one error its position is what the key leaves out; with none, all keys
+    of the chunk are shared.
+    """
+    cases = " ".join(f"when {_errors(x, y, c)} <= 1 then {x}.c = {c} and ({x}.g = 0 or {_errors(x, y, c)} = 1)" for c in range(CHUNKS))
+    return f"case {cases} else false end"
 
 
 def _keys(sig: str = "sig"):
-    """One key for each chunk and each choice of ERRORS positions to leave out."""
-    width, out = POSITIONS // CHUNKS, []
+    """(key, c, g) for each chunk and each position to leave out."""
+    out = []
     for c in range(CHUNKS):
-        for gone in combinations(range(width), ERRORS):
-            at = [F.substring(sig, 2 * (c * width + p) + 1, 2) for p in range(width) if p not in gone]
-            out.append(F.xxhash64(F.lit(f"{c}:{gone}"), *at))
+        for g in range(WIDTH):
+            at = [_position(sig, c * WIDTH + p) for p in range(WIDTH) if p != g]
+            out.append(F.struct(F.xxhash64(F.lit(c * WIDTH + g), *at).alias("key"), F.lit(c).cast("byte").alias("c"), F.lit(g).cast("byte").alias("g")))
     return F.array(*out)
 
 
@@ -137,23 +171,25 @@ def _open_keys(members: DataFrame, comp: DataFrame) -> DataFrame:
     return m.join(rest.where("r1 <> r2").select("key"), "key", "left_semi")
 
 
-def _open_pairs(live: DataFrame, small: int, slots: int) -> DataFrame:
-    """Pairs of different components: all of keys of up to ``small`` members, and those with ``slots`` leaders of the others."""
+def _open_pairs(live: DataFrame, small: int, slots: int, farthest: int) -> DataFrame:
+    """Pairs of different components that resemble each other: all of keys of up to ``small`` members, and those with ``slots`` leaders of the others.
+
+    The signatures are compared inside the joins, so only near pairs leave them.
+    """
     few = live.where(F.col("n") <= small)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    near = F.expr(_first_key("x", "y")) & F.expr(_resemble("x", "y", farthest))
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     many = live.where(F.col("n") > small)
     slot = F.pmod(F.xxhash64(F.lit(slots), "cid"), F.lit(slots))
-    leads = many.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit("lead"), "cid").alias("o"), "cid", "root")).alias("l")).select("key", "l.cid", "l.root")
-    led = many.alias("x").join(leads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+    leads = many.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit("lead"), "cid").alias("o"), "cid", "root", "sig")).alias("l")).select("key", "l.cid", "l.root", "l.sig")
+    led = many.alias("x").join(leads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & near).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
     return pairs.unionByName(led).distinct()
 
 
-def _near(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
-    """Pairs whose signatures differ in at most ``distance`` positions."""
-    s = classes.select("cid", "sig")
-    both = pairs.join(s.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
-    equal = F.size(F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.substr(F.col("sa"), p * 2 + 1, F.lit(2)) == F.substr(F.col("sb"), p * 2 + 1, F.lit(2))))
-    return both.where(equal >= POSITIONS - distance).select("a", "b")
+def _near(pairs: DataFrame, classes: DataFrame, farthest: int) -> DataFrame:
+    """Pairs whose signatures differ in at most ``farthest`` positions."""
+    x, y = classes.select("cid", "sig").alias("x"), classes.select("cid", "sig").alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.cid")).join(y, (F.col("b") == F.col("y.cid")) & F.expr(_resemble("x", "y", farthest))).select("a", "b")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -162,16 +198,17 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
     rows = own.select(place.alias("p"))
     sets = rows.groupBy(F.expr("p div 32768").alias("block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits")).collect()  # at most FILTER_BITS / 8 bytes
-    bits = np.zeros(FILTER_BITS, bool)
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for block, piece in sets:
-        bits[block * 32768 : (block + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(piece), np.uint8), bitorder="little")
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+        bits[block * 4096 : (block + 1) * 4096] = np.frombuffer(bytes(piece), np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
     schema = pa.schema([("rep", pa.int64()), ("digest", pa.binary()), ("s", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(held.value).view(bool)
+        known = held.value
         for batch in batches:
-            batch = batch.filter(pa.array(known[batch.column(2).to_numpy()]))
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((known[place >> 3] >> (place & 7).astype(np.uint8) & 1).view(bool)))
             done = 0
             for found in shingle_sets(batch.column(1)):
                 at = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
@@ -192,21 +229,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``.
 
     Links are pairs of sets with 100 * intersection >= percent * union.
     """
-    if distance > DISTANCE:
-        raise ValueError(f"{CHUNKS} chunks with {ERRORS} error cover a distance of {DISTANCE} at most")
     ship(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = saved(features(docs).withColumn("rid", F.monotonically_increasing_id()), "near_rows")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))
-    classes = rows.where("n > 0").groupBy("digest").agg(rep.alias("rep"), F.max("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("digest").agg(rep.alias("rep"), F.first("sig").alias("sig"))
     classes = saved(classes.select(F.col("rep.rid").alias("cid"), F.col("rep.doc_id").alias("doc_id"), "digest", "sig"), "near_classes")
 
-    keys = classes.select("cid", F.explode(_keys()).alias("key"))
+    keys = classes.select("cid", F.inline(_keys()))
     order = F.xxhash64(F.lit("lead"), "cid")
     leads = keys.groupBy("key").agg(F.min(F.struct(order, "cid")).alias("l1"), F.max(F.struct(order, "cid")).alias("l2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = saved(keys.join(leads.select("key", F.col("l1.cid").alias("lead1"), F.col("l2.cid").alias("lead2"), "n"), "key"), "near_members")
@@ -215,19 +250,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, distance: int = DISTANCE
     fresh = saved(lead_pairs.select(F.least("cid", "l").alias("a"), F.greatest("cid", "l").alias("b")).distinct(), "near_fresh")
     tried, edges, sets, slots = fresh, None, None, 4
     while True:
-        close = saved(_near(fresh, classes, distance), "near_pairs")
+        close = saved(_near(fresh, classes, farthest), "near_pairs") if edges is None else fresh
         wanted = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         more = saved(_full_sets(docs, classes, wanted if sets is None else wanted.join(sets, "cid", "left_anti")), "near_sets")
         sets = more if sets is None else sets.unionByName(more)
         found = saved(_confirmed(close, sets, percent), "near_links")
         edges = found if edges is None else edges.unionByName(found)
         comp = components(edges)
+        release(docs.sparkSession)
         members = saved(_open_keys(members, comp).drop("root"), "near_members")
         if members.isEmpty():
             break
-        live = members.join(comp, members["cid"] == comp["node"], "left").withColumn("root", F.coalesce("root", "cid"))
+        live = members.join(comp, members["cid"] == comp["node"], "left").withColumn("root", F.coalesce("root", "cid")).join(classes.select("cid", "sig"), "cid")
         small = max(SMALL, slots)
-        fresh = saved(_open_pairs(live, small, slots).join(tried, ["a", "b"], "left_anti"), "near_fresh")
+        fresh = saved(_open_pairs(live, small, slots, farthest).join(tried, ["a", "b"], "left_anti"), "near_fresh")
         tried = tried.unionByName(fresh)
         members = members.where(F.col("n") > small)  # all pairs of the others have now been listed
         slots *= 4

@@ -140,7 +140,7 @@ def test_near_duplicates_loses_no_link_in_a_large_key(spark, monkeypatch):
 
 def test_pigeonhole():
     rng = random.Random(1)
-    width = neardup.POSITIONS // neardup.CHUNKS
+    width = neardup.WIDTH
     for _ in range(300):
         wrong = set(rng.sample(range(neardup.POSITIONS), neardup.DISTANCE))
         assert any(sum(c * width + p in wrong for p in range(width)) <= neardup.ERRORS for c in range(neardup.CHUNKS))
