@@ -1 +1 @@
-"""Structuring of plain-text books, as Spark DataFrame operations."""
+"""Book-text structuring on Spark: raw text to paragraphs, chapters and EPUB."""
