@@ -51,13 +51,12 @@ from .graph import components
 
 SHINGLE = 5
 WIDTH, CHUNKS, ERRORS = 7, 7, 1
-POSITIONS, BITS = WIDTH * CHUNKS, 16
-#: Numbers of 64 bits in a signature; the last may be filled up with zeros.
-WORDS = -(-POSITIONS * BITS // 64)
+#: A chunk is a number of WIDTH bytes, one for each position.
+POSITIONS, BITS = WIDTH * CHUNKS, 8
 #: The largest distance for which the pigeonhole principle holds, and that of a candidate.
 DISTANCE, FARTHEST = CHUNKS * (ERRORS + 1) - 1, 18
 #: Members of a key up to which its open pairs are listed.
-SMALL = 32
+SMALL = 128
 
 _XOR, _MUL = _bytes._splitmix(POSITIONS, 101), _bytes._splitmix(POSITIONS, 202) | np.uint64(1)
 _ROLE = _bytes._splitmix(SHINGLE, 303) | np.uint64(1)
@@ -89,17 +88,17 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[list[np.ndarray]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """POSITIONS x 16 bits, packed into WORDS numbers, for each set that isn't empty, in order."""
+    """CHUNKS numbers for each set that isn't empty, in order."""
     full = [s for s in sets if len(s)]
+    out = np.zeros((len(full), CHUNKS), np.uint64)
     if not full:
-        return np.zeros((0, WORDS), np.int64)
+        return out.view(np.int64)
     at = np.concatenate(([0], np.cumsum([len(s) for s in full])[:-1]))
     flat = np.concatenate(full)
-    out = np.zeros((len(full), 4 * WORDS), ">u2")
     for p in range(POSITIONS):
         least = np.minimum.reduceat((flat ^ _XOR[p]) * _MUL[p], at)
-        out[:, p] = (least >> np.uint64(24)) & np.uint64(0xFFFF)
-    return out.view(">i8").astype(np.int64)
+        out[:, p // WIDTH] |= (least >> np.uint64(24) & np.uint64(0xFF)) << np.uint64(BITS * (p % WIDTH))
+    return out.view(np.int64)
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -115,7 +114,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             done = 0
             for sets in shingle_sets(batch.column(1)):
                 n = np.array([len(s) for s in sets], np.int64)
-                at = pa.array(np.concatenate(([0], np.cumsum(WORDS * (n > 0)))).astype(np.int32))
+                at = pa.array(np.concatenate(([0], np.cumsum(CHUNKS * (n > 0)))).astype(np.int32))
                 sig = pa.ListArray.from_arrays(at, pa.array(signatures(sets).ravel()))
                 digests = pa.array([digest(s) if len(s) else b"" for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(sets)), pa.array(n), digests, sig], schema=schema)
@@ -124,19 +123,15 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig array<long>")
 
 
-def _mask(p: int) -> int:
-    """The bits of position p in its number, signed."""
-    m = 0xFFFF << 48 - 16 * (p % 4)
-    return m - (1 << 64) if m >> 63 else m
-
-
-def _position(sig: str, p: int):
-    return F.col(sig)[p // 4].bitwiseAND(F.lit(_mask(p)))
+#: The top bits of a chunk's bytes.
+_TOP = sum(0x80 << BITS * p for p in range(WIDTH))
+_REST = sum(0x7F << BITS * p for p in range(WIDTH))
 
 
 def _errors(x: str, y: str, c: int) -> str:
-    at = range(c * WIDTH, (c + 1) * WIDTH)
-    return "(" + " + ".join(f"if(({x}.sig[{p // 4}] ^ {y}.sig[{p // 4}]) & {_mask(p)}L = 0, 0, 1)" for p in at) + ")"
+    """SQL: in how many bytes do two chunks differ?  A byte that isn't 0 carries into its top bit or has it."""
+    v = f"({x}.sig[{c}] ^ {y}.sig[{c}])"
+    return f"bit_count(((({v} & {_REST}L) + {_REST}L) | {v}) & {_TOP}L)"
 
 
 def _resemble(x: str, y: str, farthest: int) -> str:
@@ -145,22 +140,19 @@ def _resemble(x: str, y: str, farthest: int) -> str:
 
 
 def _first_key(x: str, y: str) -> str:
-    """SQL: is this key, of chunk ``x.c`` without position ``x.g``, the first that x and y share?
+    """SQL: is this key, ``x.key``, the first that x and y share?
 
-    With one error its position is what the key leaves out; with none, all keys
-    of the chunk are shared.
+    With one error in a chunk its position is what the key leaves out; with
+    none, all keys of the chunk are shared.
     """
-    cases = " ".join(f"when {_errors(x, y, c)} <= 1 then {x}.c = {c} and ({x}.g = 0 or {_errors(x, y, c)} = 1)" for c in range(CHUNKS))
+    n = f"shiftright({x}.key, 56)"
+    cases = " ".join(f"when {_errors(x, y, c)} <= 1 then {n} = {c * WIDTH} or ({n} between {c * WIDTH} and {c * WIDTH + WIDTH - 1} and {_errors(x, y, c)} = 1)" for c in range(CHUNKS))
     return f"case {cases} else false end"
 
 
 def _keys(sig: str = "sig"):
-    """(key, c, g) for each chunk and each position to leave out."""
-    out = []
-    for c in range(CHUNKS):
-        for g in range(WIDTH):
-            at = [_position(sig, c * WIDTH + p) for p in range(WIDTH) if p != g]
-            out.append(F.struct(F.xxhash64(F.lit(c * WIDTH + g), *at).alias("key"), F.lit(c).cast("byte").alias("c"), F.lit(g).cast("byte").alias("g")))
+    """One number for each chunk and each position to leave out: which they are, then the chunk without it."""
+    out = [F.col(sig)[c].bitwiseAND(F.lit(~(0xFF << BITS * g))).bitwiseOR(F.lit((c * WIDTH + g) << 56)) for c in range(CHUNKS) for g in range(WIDTH)]
     return F.array(*out)
 
 
@@ -241,14 +233,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST
     classes = rows.where("n > 0").groupBy("digest").agg(rep.alias("rep"), F.first("sig").alias("sig"))
     classes = saved(classes.select(F.col("rep.rid").alias("cid"), F.col("rep.doc_id").alias("doc_id"), "digest", "sig"), "near_classes")
 
-    keys = classes.select("cid", F.inline(_keys()))
+    keys = classes.select("cid", F.explode(_keys()).alias("key"))
     order = F.xxhash64(F.lit("lead"), "cid")
     leads = keys.groupBy("key").agg(F.min(F.struct(order, "cid")).alias("l1"), F.max(F.struct(order, "cid")).alias("l2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = saved(keys.join(leads.select("key", F.col("l1.cid").alias("lead1"), F.col("l2.cid").alias("lead2"), "n"), "key"), "near_members")
 
     lead_pairs = members.select("cid", F.explode(F.array("lead1", "lead2")).alias("l")).where("cid <> l")
     fresh = saved(lead_pairs.select(F.least("cid", "l").alias("a"), F.greatest("cid", "l").alias("b")).distinct(), "near_fresh")
-    tried, edges, sets, slots = fresh, None, None, 4
+    tried, edges, sets, slots = fresh, None, None, 16
     while True:
         close = saved(_near(fresh, classes, farthest), "near_pairs") if edges is None else fresh
         wanted = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -266,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST
         fresh = saved(_open_pairs(live, small, slots, farthest).join(tried, ["a", "b"], "left_anti"), "near_fresh")
         tried = tried.unionByName(fresh)
         members = members.where(F.col("n") > small)  # all pairs of the others have now been listed
-        slots *= 4
+        slots *= 8
     named = classes.join(comp, classes["cid"] == comp["node"], "left").select("digest", F.coalesce("root", "cid").alias("root"), "doc_id")
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = named.join(names, "root").select("digest", "component_id", F.lit(True).alias("known"))
