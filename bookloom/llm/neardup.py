@@ -105,22 +105,24 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, digest, sig) of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int64()))])
+def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, rid, n, digest, sig) of each row; ``rid`` is the column ``row``, null without one."""
+    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for sets in shingle_sets(batch.column(1)):
+            for sets in shingle_sets(batch.column(2)):
                 n = np.array([len(s) for s in sets], np.int64)
                 at = pa.array(np.concatenate(([0], np.cumsum(CHUNKS * (n > 0)))).astype(np.int32))
                 sig = pa.ListArray.from_arrays(at, pa.array(signatures(sets).ravel()))
                 digests = pa.array([digest(s) if len(s) else b"" for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(sets)), pa.array(n), digests, sig], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(sets)), batch.column(1).slice(done, len(sets)), pa.array(n), digests, sig], schema=schema)
                 done += len(sets)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig array<long>")
+    rid = F.col(row) if row else F.lit(None)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), rid.cast("long").alias("rid"), F.col(text).cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, rid long, n long, digest binary, sig array<long>")
 
 
 #: The top bits of a chunk's bytes.
@@ -221,14 +223,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``.
 
-    Links are pairs of sets with 100 * intersection >= percent * union.
+    Links are pairs of sets with 100 * intersection >= percent * union.  With
+    ``row``, a column that numbers the rows, there are also that number and
+    ``first``: is this the one row of its component with the least id (null
+    ids last, ties by number)?  It is true of rows without shingles.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = saved(features(docs).withColumn("rid", F.monotonically_increasing_id()), "near_rows")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(row).cast("long").alias("rid")] if row else []))
+    numbered = features(docs, row="rid" if row else None)
+    rows = saved(numbered if row else numbered.withColumn("rid", F.monotonically_increasing_id()), "near_rows")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))
     classes = rows.where("n > 0").groupBy("digest").agg(rep.alias("rep"), F.first("sig").alias("sig"))
     classes = saved(classes.select(F.col("rep.rid").alias("cid"), F.col("rep.doc_id").alias("doc_id"), "digest", "sig"), "near_classes")
@@ -259,8 +265,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST
         tried = tried.unionByName(fresh)
         members = members.where(F.col("n") > small)  # all pairs of the others have now been listed
         slots *= 8
-    named = classes.join(comp, classes["cid"] == comp["node"], "left").select("digest", F.coalesce("root", "cid").alias("root"), "doc_id")
-    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    label = named.join(names, "root").select("digest", "component_id", F.lit(True).alias("known"))
+    named = classes.join(comp, classes["cid"] == comp["node"], "left").select("digest", F.coalesce("root", "cid").alias("root"), "doc_id", "cid")
+    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "cid"))["cid"].alias("lead"))
+    label = named.join(names, "root").select("digest", "component_id", "lead", F.lit(True).alias("known"))
     out = rows.join(label, "digest", "left").withColumn("component_id", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    more = [F.col("rid").alias(row), F.coalesce(F.col("rid") == F.col("lead"), F.lit(True)).alias("first")] if row else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *more)

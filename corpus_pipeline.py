@@ -30,18 +30,27 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*docs.columns)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows, written with a number each: decisions are by row, whatever the ids are."""
+    return saved(docs.withColumn("__bl_row", F.monotonically_increasing_id()), name)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id.
+    """Of each group of near duplicates one row, that with the least id.
 
-    The decision is by id, so rows that share an id go or stay together.
+    Null ids come last and ties go to the first row.  Rows that share an id but
+    are no near duplicates don't touch each other, and rows without words stay.
     """
-    return without(docs, neardup.near_duplicates(docs).where("not kept").select("doc_id"), "doc_id")
+    rows = _numbered(docs, "near_input")
+    found = neardup.near_duplicates(rows, row="__bl_row")
+    return without(rows, found.where("not first").select("__bl_row"), "__bl_row").drop("__bl_row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is passages of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(decontaminate.is_contaminated()).select("doc_id"), "doc_id")
+    """Rows of which less than a twentieth is passages of the benchmark, by row: ids may be null or shared."""
+    rows = _numbered(docs, "decontamination_input")
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), doc_id="__bl_row")
+    return without(rows, found.where(decontaminate.is_contaminated()).select("doc_id"), "__bl_row").drop("__bl_row")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
