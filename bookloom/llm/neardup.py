@@ -21,8 +21,9 @@ leaders, twice as many each round, if it is large.  So a group of n copies that
 resemble each other costs about n comparisons, yet no link between components
 is lost.
 
-Chance of a miss: a pair at similarity 0.85 has no chunk of 7 positions with at
-most one error in 1.5e-4 of cases, and less the nearer the pair (0.9: 3e-6).
+Chance of a miss: ``miss`` computes it.  With the scheme for 85 percent a pair at
+similarity 0.85 is missed in at most 1.8e-4 of cases, with ``AT_80`` one at 0.80
+in at most 1.9e-4; less the nearer the pair.
 
 Scale: classes, keys, pairs, sets and components are tables in the shared
 folder; nothing of corpus size reaches the driver or a broadcast (full sets are
@@ -38,6 +39,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +58,40 @@ WIDTH, CHUNKS, ERRORS = 7, 7, 1
 POSITIONS, BITS = WIDTH * CHUNKS, 8
 #: The largest distance for which the pigeonhole principle holds, and that of a candidate.
 DISTANCE, FARTHEST = CHUNKS * (ERRORS + 1) - 1, 18
+
+
+class Scheme(NamedTuple):
+    """How signatures are cut: ``chunks`` of ``width`` positions with at most one error; candidates differ in up to ``farthest``."""
+
+    width: int = WIDTH
+    chunks: int = CHUNKS
+    farthest: int = FARTHEST
+
+    @property
+    def positions(self) -> int:
+        return self.width * self.chunks
+
+
+AT_85 = Scheme()
+#: For links from 0.80 on: shorter chunks and more of them.
+AT_80 = Scheme(6, 9, 22)
+
 #: Members of a key up to which its open pairs are listed.
 SMALL = 128
 
-_XOR, _MUL = _bytes._splitmix(POSITIONS, 101), _bytes._splitmix(POSITIONS, 202) | np.uint64(1)
+#: The first numbers are the same however many positions there are.
+_MOST = max(AT_85.positions, AT_80.positions)
+_XOR, _MUL = _bytes._splitmix(_MOST, 101), _bytes._splitmix(_MOST, 202) | np.uint64(1)
 _ROLE = _bytes._splitmix(SHINGLE, 303) | np.uint64(1)
 
 
+def miss(similarity: float, scheme: Scheme = AT_85) -> float:
+    """Chance, at most, that two sets of that similarity never become a candidate pair."""
+    p, n = similarity + (1 - similarity) / (1 << BITS), scheme.positions
+    chunk = p**scheme.width + scheme.width * p ** (scheme.width - 1) * (1 - p)
+    return (1 - chunk) ** scheme.chunks + sum(comb(n, k) * (1 - p) ** k * p ** (n - k) for k in range(scheme.farthest + 1, n + 1))
+
+
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[list[np.ndarray]]:
     """Sorted distinct shingle hashes of each text, a list per block of texts."""
     b, offsets = _bytes.text_bytes(texts)
@@ -87,17 +117,17 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[list[np.ndarray]
         yield out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """CHUNKS numbers for each set that isn't empty, in order."""
+def signatures(sets: list[np.ndarray], scheme: Scheme = AT_85) -> np.ndarray:
+    """A number for each chunk of each set that isn't empty, in order."""
     full = [s for s in sets if len(s)]
-    out = np.zeros((len(full), CHUNKS), np.uint64)
+    out = np.zeros((len(full), scheme.chunks), np.uint64)
     if not full:
         return out.view(np.int64)
     at = np.concatenate(([0], np.cumsum([len(s) for s in full])[:-1]))
     flat = np.concatenate(full)
-    for p in range(POSITIONS):
+    for p in range(scheme.positions):
         least = np.minimum.reduceat((flat ^ _XOR[p]) * _MUL[p], at)
-        out[:, p // WIDTH] |= (least >> np.uint64(24) & np.uint64(0xFF)) << np.uint64(BITS * (p % WIDTH))
+        out[:, p // scheme.width] |= (least >> np.uint64(24) & np.uint64(0xFF)) << np.uint64(BITS * (p % scheme.width))
     return out.view(np.int64)
 
 
@@ -105,7 +135,7 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None, scheme: Scheme = AT_85) -> DataFrame:
     """(doc_id, rid, n, digest, sig) of each row; ``rid`` is the column ``row``, null without one."""
     schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int64()))])
 
@@ -114,8 +144,8 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: s
             done = 0
             for sets in shingle_sets(batch.column(2)):
                 n = np.array([len(s) for s in sets], np.int64)
-                at = pa.array(np.concatenate(([0], np.cumsum(CHUNKS * (n > 0)))).astype(np.int32))
-                sig = pa.ListArray.from_arrays(at, pa.array(signatures(sets).ravel()))
+                at = pa.array(np.concatenate(([0], np.cumsum(scheme.chunks * (n > 0)))).astype(np.int32))
+                sig = pa.ListArray.from_arrays(at, pa.array(signatures(sets, scheme).ravel()))
                 digests = pa.array([digest(s) if len(s) else b"" for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(sets)), batch.column(1).slice(done, len(sets)), pa.array(n), digests, sig], schema=schema)
                 done += len(sets)
@@ -125,9 +155,9 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: s
     return own.mapInArrow(run, "doc_id long, rid long, n long, digest binary, sig array<long>")
 
 
-#: The top bits of a chunk's bytes.
-_TOP = sum(0x80 << BITS * p for p in range(WIDTH))
-_REST = sum(0x7F << BITS * p for p in range(WIDTH))
+#: The top bits of the bytes of a chunk, up to seven, and the others.
+_TOP = sum(0x80 << BITS * p for p in range(7))
+_REST = sum(0x7F << BITS * p for p in range(7))
 
 
 def _errors(x: str, y: str, c: int) -> str:
@@ -136,25 +166,25 @@ def _errors(x: str, y: str, c: int) -> str:
     return f"bit_count(((({v} & {_REST}L) + {_REST}L) | {v}) & {_TOP}L)"
 
 
-def _resemble(x: str, y: str, farthest: int) -> str:
-    """SQL: do the signatures of x and y differ in at most ``farthest`` positions?"""
-    return " + ".join(_errors(x, y, c) for c in range(CHUNKS)) + f" <= {farthest}"
+def _resemble(x: str, y: str, scheme: Scheme) -> str:
+    """SQL: do the signatures of x and y differ in at most ``scheme.farthest`` positions?"""
+    return " + ".join(_errors(x, y, c) for c in range(scheme.chunks)) + f" <= {scheme.farthest}"
 
 
-def _first_key(x: str, y: str) -> str:
+def _first_key(x: str, y: str, scheme: Scheme) -> str:
     """SQL: is this key, ``x.key``, the first that x and y share?
 
     With one error in a chunk its position is what the key leaves out; with
     none, all keys of the chunk are shared.
     """
-    n = f"shiftright({x}.key, 56)"
-    cases = " ".join(f"when {_errors(x, y, c)} <= 1 then {n} = {c * WIDTH} or ({n} between {c * WIDTH} and {c * WIDTH + WIDTH - 1} and {_errors(x, y, c)} = 1)" for c in range(CHUNKS))
+    n, w = f"shiftright({x}.key, 56)", scheme.width
+    cases = " ".join(f"when {_errors(x, y, c)} <= 1 then {n} = {c * w} or ({n} between {c * w} and {c * w + w - 1} and {_errors(x, y, c)} = 1)" for c in range(scheme.chunks))
     return f"case {cases} else false end"
 
 
-def _keys(sig: str = "sig"):
+def _keys(scheme: Scheme, sig: str = "sig"):
     """One number for each chunk and each position to leave out: which they are, then the chunk without it."""
-    out = [F.col(sig)[c].bitwiseAND(F.lit(~(0xFF << BITS * g))).bitwiseOR(F.lit((c * WIDTH + g) << 56)) for c in range(CHUNKS) for g in range(WIDTH)]
+    out = [F.col(sig)[c].bitwiseAND(F.lit(~(0xFF << BITS * g))).bitwiseOR(F.lit((c * scheme.width + g) << 56)) for c in range(scheme.chunks) for g in range(scheme.width)]
     return F.array(*out)
 
 
@@ -165,13 +195,13 @@ def _open_keys(members: DataFrame, comp: DataFrame) -> DataFrame:
     return m.join(rest.where("r1 <> r2").select("key"), "key", "left_semi")
 
 
-def _open_pairs(live: DataFrame, small: int, slots: int, farthest: int) -> DataFrame:
+def _open_pairs(live: DataFrame, small: int, slots: int, scheme: Scheme) -> DataFrame:
     """Pairs of different components that resemble each other: all of keys of up to ``small`` members, and those with ``slots`` leaders of the others.
 
     The signatures are compared inside the joins, so only near pairs leave them.
     """
     few = live.where(F.col("n") <= small)
-    near = F.expr(_first_key("x", "y")) & F.expr(_resemble("x", "y", farthest))
+    near = F.expr(_first_key("x", "y", scheme)) & F.expr(_resemble("x", "y", scheme))
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     many = live.where(F.col("n") > small)
     slot = F.pmod(F.xxhash64(F.lit(slots), "cid"), F.lit(slots))
@@ -180,10 +210,10 @@ def _open_pairs(live: DataFrame, small: int, slots: int, farthest: int) -> DataF
     return pairs.unionByName(led).distinct()
 
 
-def _near(pairs: DataFrame, classes: DataFrame, farthest: int) -> DataFrame:
-    """Pairs whose signatures differ in at most ``farthest`` positions."""
+def _near(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs whose signatures differ in at most ``scheme.farthest`` positions."""
     x, y = classes.select("cid", "sig").alias("x"), classes.select("cid", "sig").alias("y")
-    return pairs.join(x, F.col("a") == F.col("x.cid")).join(y, (F.col("b") == F.col("y.cid")) & F.expr(_resemble("x", "y", farthest))).select("a", "b")
+    return pairs.join(x, F.col("a") == F.col("x.cid")).join(y, (F.col("b") == F.col("y.cid")) & F.expr(_resemble("x", "y", scheme))).select("a", "b")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -223,7 +253,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, scheme: Scheme = AT_85, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``.
 
     Links are pairs of sets with 100 * intersection >= percent * union.  With
@@ -233,13 +263,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(row).cast("long").alias("rid")] if row else []))
-    numbered = features(docs, row="rid" if row else None)
+    numbered = features(docs, row="rid" if row else None, scheme=scheme)
     rows = saved(numbered if row else numbered.withColumn("rid", F.monotonically_increasing_id()), "near_rows")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))
     classes = rows.where("n > 0").groupBy("digest").agg(rep.alias("rep"), F.first("sig").alias("sig"))
     classes = saved(classes.select(F.col("rep.rid").alias("cid"), F.col("rep.doc_id").alias("doc_id"), "digest", "sig"), "near_classes")
 
-    keys = classes.select("cid", F.explode(_keys()).alias("key"))
+    keys = classes.select("cid", F.explode(_keys(scheme)).alias("key"))
     order = F.xxhash64(F.lit("lead"), "cid")
     leads = keys.groupBy("key").agg(F.min(F.struct(order, "cid")).alias("l1"), F.max(F.struct(order, "cid")).alias("l2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = saved(keys.join(leads.select("key", F.col("l1.cid").alias("lead1"), F.col("l2.cid").alias("lead2"), "n"), "key"), "near_members")
@@ -248,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST
     fresh = saved(lead_pairs.select(F.least("cid", "l").alias("a"), F.greatest("cid", "l").alias("b")).distinct(), "near_fresh")
     tried, edges, sets, slots = fresh, None, None, 16
     while True:
-        close = saved(_near(fresh, classes, farthest), "near_pairs") if edges is None else fresh
+        close = saved(_near(fresh, classes, scheme), "near_pairs") if edges is None else fresh
         wanted = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         more = saved(_full_sets(docs, classes, wanted if sets is None else wanted.join(sets, "cid", "left_anti")), "near_sets")
         sets = more if sets is None else sets.unionByName(more)
@@ -261,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, farthest: int = FARTHEST
             break
         live = members.join(comp, members["cid"] == comp["node"], "left").withColumn("root", F.coalesce("root", "cid")).join(classes.select("cid", "sig"), "cid")
         small = max(SMALL, slots)
-        fresh = saved(_open_pairs(live, small, slots, farthest).join(tried, ["a", "b"], "left_anti"), "near_fresh")
+        fresh = saved(_open_pairs(live, small, slots, scheme).join(tried, ["a", "b"], "left_anti"), "near_fresh")
         tried = tried.unionByName(fresh)
         members = members.where(F.col("n") > small)  # all pairs of the others have now been listed
         slots *= 8

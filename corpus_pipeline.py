@@ -38,11 +38,12 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row, that with the least id.
 
+    Documents are linked from a similarity of 0.80 of their word shingles on.
     Null ids come last and ties go to the first row.  Rows that share an id but
     are no near duplicates don't touch each other, and rows without words stay.
     """
     rows = _numbered(docs, "near_input")
-    found = neardup.near_duplicates(rows, row="__bl_row")
+    found = neardup.near_duplicates(rows, percent=80, scheme=neardup.AT_80, row="__bl_row")
     return without(rows, found.where("not first").select("__bl_row"), "__bl_row").drop("__bl_row")
 
 

@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import pytest
+
+from bookloom.llm import neardup
 
 from .helpers import docs, sentence
 
@@ -32,3 +35,23 @@ def test_decontamination_stage_decides_by_row(spark, tmp_path):
     left = corpus_pipeline.decontamination_stage(spark, docs(spark, rows), str(tmp_path))
     assert ids_and_texts(left) == sorted(stay, key=str)
     assert left.columns == docs(spark, rows).columns
+
+
+def test_near_stage_links_from_80_percent(spark):
+    """Pairs of 104 words: 100 shingles, of which 10 change on either side give 90 / 110; 11 give 89 / 111; 12 give 88 / 112."""
+    rng = random.Random(23)
+    rows, stay = [], []
+    for k in range(60):
+        own = [f"w{k}x{i}" for i in range(104)]
+        changed = 10 + k % 3
+        other = [*own[: 104 - changed], *[f"v{k}x{i}" for i in range(changed)]]
+        rows += [(2 * k, " ".join(own), "en", "a"), (2 * k + 1, " ".join(other), "en", "a")]
+        stay += [2 * k] + [2 * k + 1] * (changed > 11)
+    rng.shuffle(rows)
+    left = [i for i, _ in ids_and_texts(corpus_pipeline.near_stage(spark, docs(spark, rows), ""))]
+    assert sorted(left) == sorted(stay)
+
+
+def test_chance_of_a_miss():
+    assert neardup.miss(0.85) == pytest.approx(1.82e-4, rel=0.01)
+    assert neardup.miss(0.80, neardup.AT_80) < 2e-4 < 3e-3 < neardup.miss(0.80)
