@@ -9,7 +9,7 @@ aligned columns, and preformatted text as it is.
 Scale: row by row in one pass, no shuffle; a page is held by one task.
 
 Defined cases: null html gives null, empty html and html without visible text
-the empty string; broken markup never fails; elements nested deeper than
+the empty string; broken markup never fails nor ends the text; elements nested deeper than
 ``DEEPEST`` join their ancestor at that depth; very wide tables pad no cell
 beyond ``WIDEST`` characters; repeated rows give equal results.
 """
@@ -17,11 +17,11 @@ beyond ``WIDEST`` characters; repeated rows give equal results.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..markup import Tokeniser
 from ..shipping import ship
 
 DEEPEST, WIDEST = 200, 60
@@ -65,7 +65,7 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-class Builder(HTMLParser):
+class Builder(Tokeniser):
     """Builds the tree under ``root``; ``path`` holds the open elements."""
 
     def __init__(self) -> None:
@@ -345,11 +345,8 @@ def render(html: str | None) -> str | None:
     if html is None:
         return None
     builder = Builder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except AssertionError:  # the tokeniser gives up on some broken declarations; what came before stays
-        pass
+    builder.feed(html)
+    builder.close()
     return "\n".join(_box(builder.root.children))
 
 
