@@ -37,6 +37,10 @@ _STATE = {
 }
 
 
+#: A file is streamed however much older than the newest it is.
+_NEVER = "36500d"
+
+
 def sha256(norm: Column) -> Column:
     return F.unhex(F.sha2(norm.cast("binary"), 256))
 
@@ -52,7 +56,7 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, doc_id: str = "d
         for k, v in _STATE.items():
             spark.conf.set(k, v)
         # as a glob, for a stream's plain path must be a folder
-        rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+        rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFileAge", _NEVER).parquet(f"{path[:-1]}[{path[-1]}]")
         seen = rows.select(
             F.col(doc_id).cast("long").alias("id"),
             digest(_norm(text)).alias("digest"),
@@ -75,7 +79,8 @@ def state(spark: SparkSession, checkpoint: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per row of the Parquet table at ``path``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    With the ``checkpoint`` of an earlier call only new files are streamed.  A
+    With the ``checkpoint`` of an earlier call only new files are streamed,
+    however old; rows that the state lacks are an error.  A
     weaker ``digest`` changes nothing in the result; it makes more hits.
     """
     checkpoint = checkpoint or scratch(spark, "dedup_state")
@@ -83,6 +88,9 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, d
     known = saved(state(spark, checkpoint), "dedup_known")
     docs = spark.read.parquet(path).select(F.col(doc_id).cast("long").alias("doc_id"), _norm(text).alias("norm"))
     docs = docs.withColumn("digest", digest(F.col("norm")))
+    streamed = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if streamed < (there := docs.count()):
+        raise ValueError(f"the state under {checkpoint} has {streamed} of {there} rows of {path}")
     sha = F.lower(F.hex("digest")) if digest is sha256 else F.sha2(F.col("norm").cast("binary"), 256)
 
     # a digest's texts are all equal if the least and the greatest of them are
@@ -94,7 +102,8 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, d
     by_digest, apart = docs, None
     if not collided.isEmpty():
         by_digest, apart = docs.join(collided, "digest", "left_anti"), docs.join(collided, "digest", "left_semi")
-    out = by_digest.select("doc_id", "digest", sha.alias("text_sha256")).join(known.select("digest", "keep_id", F.col("n").alias("group_size")), "digest").select(names)
+    size = F.coalesce("n", F.raise_error(F.lit("a text of the table is missing from the state")).cast("long"))
+    out = by_digest.select("doc_id", "digest", sha.alias("text_sha256")).join(known, "digest", "left").withColumn("group_size", size).select(names)
     if apart is not None:
         groups = apart.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         out = out.unionByName(apart.select("doc_id", "norm", sha.alias("text_sha256")).join(groups, "norm").select(names))

@@ -1,10 +1,16 @@
 """Cases in which operators once returned less than the whole."""
 
+import os
+import time
+
 import pytest
 
-from bookloom.llm import htmltext
+from bookloom.llm import exactdup, htmltext
 from bookloom.operators import htmlscan
 
+from .helpers import docs
+
+
 @pytest.mark.parametrize("odd", ["<![foo]>", "<![ foo ]>", "<![>", "<![]]>", "<![1 x>"])
 def test_text_after_an_unknown_declaration_stays(odd):
     page = f"<p>a</p>{odd}b<p>c</p>"
@@ -12,3 +18,25 @@ def test_text_after_an_unknown_declaration_stays(odd):
     assert text.startswith("a\n\n") and text.endswith("b\n\nc")
     assert htmlscan.items_of(page) == [("p", "a"), ("p", "c")]
 
+
+def test_exact_dedup_streams_late_files_of_any_age(spark, tmp_path):
+    path, state = str(tmp_path / "d.parquet"), str(tmp_path / "state")
+    docs(spark, [(1, "A", "en", "a"), (2, "b", "en", "a")]).write.parquet(path)
+    exactdup.exact_dedup(spark, path, state).collect()
+    before = set(os.listdir(path))
+    docs(spark, [(9, "a", "en", "a"), (10, "c", "en", "a")]).write.mode("append").parquet(path)
+    old = time.time() - 20 * 86400
+    for name in set(os.listdir(path)) - before:
+        os.utime(os.path.join(path, name), (old, old))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exactdup.exact_dedup(spark, path, state).collect()}
+    assert got == {1: (9, 2), 2: (2, 1), 9: (9, 2), 10: (10, 1)}
+
+
+def test_exact_dedup_fails_if_rows_are_missing_from_the_state(spark, tmp_path, monkeypatch):
+    path, state = str(tmp_path / "d.parquet"), str(tmp_path / "state")
+    docs(spark, [(1, "A", "en", "a")]).write.parquet(path)
+    exactdup.exact_dedup(spark, path, state).collect()
+    docs(spark, [(2, "b", "en", "a")]).write.mode("append").parquet(path)
+    monkeypatch.setattr(exactdup, "run_stream", lambda *a: None)
+    with pytest.raises(ValueError, match="1 of 2 rows"):
+        exactdup.exact_dedup(spark, path, state)
