@@ -7,7 +7,7 @@ beyond the largest size is split, and cuts never fall inside a character.
 Chunks are known by a 128-bit digest.  A chunk that occurs elsewhere is
 repeated; of each run of repeated chunks of at least ``min_run`` bytes, those
 that have an earlier occurrence (by document, then offset) are removed.  Short
-runs, common phrases of a few words, are left alone.
+runs, common phrases of a few words, are left alone, also inside a first copy.
 
 Scale: one row of about 40 bytes per chunk; counts are pre-aggregated by digest
 before the shuffle and the join back is one that Spark can split, so a passage
@@ -34,9 +34,9 @@ from . import _bytes
 from ._common import repeats, saved, split_by_keys
 
 #: Cuts fall at one byte in 2 ** CUT_BITS; sizes in bytes.
-CUT_BITS, SMALLEST, LARGEST = 5, 16, 512
-#: Bytes that a run of repeated chunks must have (some 25 words).
-MIN_RUN = 120
+CUT_BITS, SMALLEST, LARGEST = 4, 8, 512
+#: Bytes that a run of repeated chunks must have (some 10 words).
+MIN_RUN = 60
 
 _GEAR = (_bytes._splitmix(256, 404) >> np.uint64(32)).astype(np.uint32)
 #: Of a 32-bit sum of the last 16 bytes, bits that all 16 have a part in.
@@ -118,14 +118,21 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     too; ``spans`` (start, end) in bytes are to be removed, merged and sorted.
     """
     own = docs.select("doc_id", "text").where("text is not null")
-    found = repeats(saved(chunks(own).distinct(), "chunks"), ["digest"], ["doc_id", "t", "start"])
+    # only rows of an id that occurs again can be equal
+    again = saved(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "chunk_ids")
+    maybe, single = split_by_keys(own, again, ["doc_id"])
+    found = repeats(saved(chunks(maybe).distinct().unionByName(chunks(single)), "chunks"), ["digest"], ["doc_id", "t", "start"])
     doc = Window.partitionBy("doc_id", "t").orderBy("start")
     # a run goes on as long as each chunk starts where the one before ends
     new = F.coalesce(F.lag(F.col("start") + F.col("size")).over(doc) != F.col("start"), F.lit(True))
     runs = found.select("doc_id", "t", "start", "size", "__bl_first", new.cast("int").alias("new"))
     runs = runs.withColumn("run", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    # a common phrase inside a first copy isn't removed: what goes must be as long by itself
+    turn = F.coalesce(F.lag("__bl_first").over(doc) != F.col("__bl_first"), F.lit(True)) | (F.col("new") == 1)
+    runs = runs.withColumn("part", F.sum(turn.cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("part_size", F.sum("size").over(Window.partitionBy("doc_id", "t", "part")))
     whole = runs.withColumn("run_size", F.sum("size").over(Window.partitionBy("doc_id", "t", "run"))).where(F.col("run_size") >= min_run)
-    gone = F.when(~F.col("__bl_first"), F.struct("start", (F.col("start") + F.col("size")).alias("end")))
+    gone = F.when(~F.col("__bl_first") & (F.col("part_size") >= min_run), F.struct("start", (F.col("start") + F.col("size")).alias("end")))
     by_doc = whole.groupBy("doc_id", "t").agg(F.sum("size").alias("repeated"), F.sort_array(F.collect_list(gone)).alias("spans"))
     return by_doc
 

@@ -1,14 +1,15 @@
 """Cases in which operators once returned less than the whole."""
 
 import os
+import random
 import time
 
 import pytest
 
-from bookloom.llm import exactdup, htmltext
+from bookloom.llm import chunkdedup, exactdup, htmltext
 from bookloom.operators import htmlscan
 
-from .helpers import docs
+from .helpers import docs, sentence
 
 
 @pytest.mark.parametrize("odd", ["<![foo]>", "<![ foo ]>", "<![>", "<![]]>", "<![1 x>"])
@@ -40,3 +41,20 @@ def test_exact_dedup_fails_if_rows_are_missing_from_the_state(spark, tmp_path, m
     monkeypatch.setattr(exactdup, "run_stream", lambda *a: None)
     with pytest.raises(ValueError, match="1 of 2 rows"):
         exactdup.exact_dedup(spark, path, state)
+
+
+def test_substring_dedup_finds_passages_of_just_over_50_words(spark):
+    """200 passages of 51 to 60 words, each in two texts that have nothing else in common."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    rows, size = [], {}
+    for k in range(200):
+        passage = sentence(rng, rng.randint(51, 60), words)
+        size[2 * k + 1] = len(passage)
+        rows += [(2 * k + d, f"{sentence(rng, 40, words)} {passage} {sentence(rng, 40, words)}", "en", "a") for d in (0, 1)]
+    removed = {r.doc_id: r.n_removed for r in chunkdedup.dedup_substrings(docs(spark, rows)).collect()}
+    assert not any(removed[i] for i in removed if i % 2 == 0)
+    shares = [removed[i] / n for i, n in size.items()]
+    print("missed", sum(s == 0 for s in shares), "under half", sum(s < 0.5 for s in shares), "stays", 1 - sum(shares) / len(shares))
+    assert sum(s == 0 for s in shares) <= 2 and sum(s < 0.5 for s in shares) <= 4
+    assert sum(shares) > 0.8 * len(shares)
