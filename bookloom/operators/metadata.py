@@ -24,7 +24,7 @@ def _author_line(head: Column) -> Column:
     few = lambda c, least: F.size(T.words(c)).between(least, 6)
 
     def one(x: Column, i: Column) -> Column:
-        name = T.strip(F.regexp_extract(x, r"(?idU)^by\s+(.{3,60})$", 1))
+        name = T.strip(F.regexp_extract(x, "(?idU)" + K.AUTHOR_LINE, 1))
         after = F.get(head, i + 1)
         return F.when((name != "") & few(name, 0), name).when((F.lower(x) == "by") & after.isNotNull() & few(after, 1) & (F.length(after) >= 3), after)
 
@@ -33,7 +33,7 @@ def _author_line(head: Column) -> Column:
 
 def author_title_line(text: Column) -> Column:
     """The name in a first line like "First Last. Title"; else null."""
-    name = T.strip(F.regexp_extract(F.get(_head_lines(text), F.lit(0)), r"(?U)^([A-Z][a-z]+(?:\s+[A-Z]\.|\s+[A-Z][a-z]+){1,3})\.\s+\S", 1))
+    name = T.strip(F.regexp_extract(F.get(_head_lines(text), F.lit(0)), "(?U)" + K.AUTHOR_TITLE, 1))
     return F.when(F.size(T.words(name)).between(2, 5), name)
 
 
