@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is made.
+    Only a local session without that setting gets a temporary folder; on a
+    cluster executors would not see it, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext.getCheckpointDir()
         if not kept:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bookloom-"))
             kept = spark.sparkContext.getCheckpointDir()
         found = kept
@@ -34,8 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/bookloom/{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder, under ``bookloom/`` and the application's id: that folder may be dropped when the application has ended."""
+    return f"{shared_dir(spark)}/bookloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+@contextmanager
+def settings(spark: SparkSession, of: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, for a while."""
+    before = {k: spark.conf.get(k, None) for k in of}
+    try:
+        for k, v in of.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: A written table needs its shuffles no more: Spark drops their files when the write has ended.
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -46,18 +67,23 @@ def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    df.write.parquet(path)
+    with settings(spark, _TIDY):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps whose result has been saved.
+class Series:
+    """Tables that replace one another; ``clear`` takes all of them from the disk."""
 
-    It does so when the driver's JVM finds that nothing refers to them, which
-    in a loop of many small steps may be long after the disks have filled.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.path, self.number = scratch(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.number += 1
+        return saved(df, "", f"{self.path}/{self.number}")
+
+    def clear(self, spark: SparkSession) -> None:
+        spark.range(0).write.mode("overwrite").parquet(self.path)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -70,18 +96,31 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-#: Bits of the set that ``split_by_keys`` broadcasts: 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
+#: Bits of the set that ``split_by_keys`` broadcasts, by key, and their least and greatest number (32 MB).
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+
+
+def filter_bits(n: int) -> int | None:
+    """Bits for a set of n keys, a power of two; None if it would be so full that it isn't worth its broadcast."""
+    bits = LEAST_BITS
+    while bits < min(n * BITS_A_KEY, MOST_BITS):
+        bits *= 2
+    return bits if n < bits else None
 
 
-def split_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """(rows that may match ``keys``, rows that surely don't), without a shuffle of ``rows``.
+def marked_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], to: str, bits: int | None = None) -> DataFrame:
+    """``rows`` with ``to``: may the row match ``keys``?  False is sure, true is not; no shuffle of ``rows``.
 
-    A Bloom-like bit set of the keys, of fixed size, is broadcast as blocks of
-    4096 bytes joined by block number.  With so many keys that the set fills up
-    more rows pass as candidates; a join on the keys afterwards stays exact.
-    ``on`` columns compare null-safely, as xxhash64 skips nulls on both sides.
+    A Bloom-like bit set is broadcast as blocks of 4096 bytes joined by block
+    number.  Its size follows from the counted keys, up to ``MOST_BITS``; with
+    more keys than that all rows may match.  A join on the keys afterwards stays
+    exact in any case.  ``keys`` are read twice, so they should be a written
+    table.  ``on`` columns compare null-safely, as xxhash64 skips nulls on both
+    sides.
     """
+    bits = bits or filter_bits(keys.count())
+    if bits is None:
+        return rows.withColumn(to, F.lit(True))
     place = F.pmod(F.xxhash64(F.lit("bit"), *[F.col(c) for c in on]), F.lit(bits))
     sets = (
         keys.select(place.alias("__bl_p"))
@@ -91,10 +130,15 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = F
     own = rows.withColumn("__bl_p", place).withColumn("__bl_block", F.expr("__bl_p div 32768"))
     byte = "cast(conv(hex(substring(__bl_bits, cast((__bl_p % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
     tested = own.join(F.broadcast(sets), "__bl_block", "left").withColumn(
-        "__bl_in", F.expr(f"__bl_bits is not null and ((shiftright({byte}, cast(__bl_p % 8 as int)) & 1) = 1)")
+        to, F.expr(f"__bl_bits is not null and ((shiftright({byte}, cast(__bl_p % 8 as int)) & 1) = 1)")
     )
-    helpers = ["__bl_p", "__bl_block", "__bl_bits", "__bl_in"]
-    return tested.where("__bl_in").drop(*helpers), tested.where("not __bl_in").drop(*helpers)
+    return tested.drop("__bl_p", "__bl_block", "__bl_bits")
+
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that may match ``keys``, rows that surely don't); see ``marked_by_keys``."""
+    tested = marked_by_keys(rows, keys, on, "__bl_in", bits)
+    return tested.where("__bl_in").drop("__bl_in"), tested.where("not __bl_in").drop("__bl_in")
 
 
 def repeats(spots: DataFrame, key: list[str], place: list[str]) -> DataFrame:
