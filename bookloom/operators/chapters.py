@@ -22,14 +22,17 @@ def candidates(lines: Column) -> Column:
 
 
 def _candidates(lines: Column) -> Column:
-    def one(x: Column, i: Column) -> Column:
-        before = F.coalesce(T.is_blank(F.get(lines, i - 1)), F.lit(True))
-        after = F.coalesce(T.is_blank(F.get(lines, i + 1)), F.lit(True))
-        s = T.strip(x)
-        return F.struct(i.alias("pos"), s.alias("title"), F.when(F.length(s).between(1, 100) & before & after, headings.is_heading(s, F.lit(True), F.lit(True))).otherwise(False).alias("ok"), ((T.indent(x) >= K.DECOR_INDENT) & T.is_upper(x)).alias("decor"))
-
-    found = F.filter(F.transform(lines, one), lambda c: c["ok"])
-    return F.transform(found, lambda c: F.struct(c["pos"].alias("pos"), c["title"].alias("title"), headings.is_explicit(c["title"]).alias("explicit"), c["decor"].alias("decor"), T.fold(T.collapse(c["title"])).alias("key")))
+    """Costly tests are for the few lines that stand alone between blank ones."""
+
+    def alone(blank: Column) -> Column:
+        edge = lambda i: F.coalesce(F.get(blank, i), F.lit(True))
+        return F.filter(F.sequence(F.lit(0), F.size(blank) - 1), lambda i: ~F.get(blank, i) & edge(i - 1) & edge(i + 1))
+
+    spots = T.let(F.transform(lines, T.is_blank), alone)
+    titled = F.transform(spots, lambda i: F.struct(i.alias("pos"), F.get(lines, i).alias("line"), T.strip(F.get(lines, i)).alias("title")))
+    found = F.filter(titled, lambda c: F.length(c["title"]).between(1, 100) & headings.is_heading(c["title"], F.lit(True), F.lit(True)))
+    decor = lambda x: (T.indent(x) >= K.DECOR_INDENT) & T.is_upper(x)
+    return F.transform(found, lambda c: F.struct(c["pos"].alias("pos"), c["title"].alias("title"), headings.is_explicit(c["title"]).alias("explicit"), decor(c["line"]).alias("decor"), T.fold(T.collapse(c["title"])).alias("key")))
 
 
 def suppress_repeated(c: Column, times: int = K.REPEATED) -> Column:

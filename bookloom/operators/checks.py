@@ -16,10 +16,12 @@ def worst(*status: Column) -> Column:
     return F.get(F.array(*map(F.lit, RANK)), F.greatest(*[F.array_position(F.array(*map(F.lit, RANK)), s) for s in status]) - 1)
 
 
-def check(books: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+def check(books: DataFrame, expected: DataFrame | None = None, epubs: DataFrame | None = None) -> DataFrame:
     """A row per book of raw text, cleaned text and chapters, with the status of each check.
 
-    ``expected`` (book_id, lo, hi) holds known ranges of chapter counts.
+    ``expected`` (book_id, lo, hi) holds known ranges of chapter counts, and
+    ``epubs`` (book_id, error) what became of the books' EPUB files; a book that
+    isn't among them has no file and fails.
     """
     stripped = normalize.strip_boilerplate(F.coalesce(F.col("text"), F.lit("")))
     saved = F.aggregate(F.regexp_extract_all(stripped, F.lit("--+"), F.lit(0)), F.lit(0), lambda n, m: n + F.length(m) - 1)
@@ -41,5 +43,10 @@ def check(books: DataFrame, expected: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumn("expected", F.lit("pass"))
     else:
         rows = rows.join(expected.select("book_id", "lo", "hi"), "book_id", "left").withColumn("expected", status(F.coalesce(F.col("n_chapters").between(F.col("lo"), F.col("hi")), F.lit(True)), "warn")).drop("lo", "hi")
-    names = ["preserved", "dashes", "newlines", "has_chapters", "titles", "coverage", "expected"]
+    if epubs is None:
+        rows = rows.withColumn("epub", F.lit("pass"))
+    else:
+        built = epubs.select(F.col("book_id").alias("__b"), F.col("error").isNull().alias("__ok"))
+        rows = rows.join(built, F.col("book_id").cast("string") == F.col("__b").cast("string"), "left").withColumn("epub", status(F.coalesce("__ok", F.lit(False)), "fail")).drop("__b", "__ok")
+    names = ["preserved", "dashes", "newlines", "has_chapters", "titles", "coverage", "expected", "epub"]
     return rows.withColumn("worst", worst(*[F.col(c) for c in names]))

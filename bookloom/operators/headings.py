@@ -22,7 +22,9 @@ def explicit_index(c: Column) -> Column:
 
 
 def is_explicit(c: Column) -> Column:
-    return reduce(lambda a, b: a | b, [_matches(c, k) for k in range(len(K.EXPLICIT))])
+    """Does a stripped line match any of them?  One pattern for each kind of letters."""
+    both = ("|".join(p for p, any_case in K.EXPLICIT if any_case == kind) for kind in (True, False))
+    return reduce(lambda a, b: a | b, [c.rlike(flags + p) for flags, p in zip(("(?idU)", "(?dU)"), both, strict=True)])
 
 
 def short_words_only(c: Column) -> Column:

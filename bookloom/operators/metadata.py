@@ -60,7 +60,47 @@ def safe_name(title: Column) -> Column:
     return F.when(kept == "", K.DEFAULT_NAME).otherwise(kept)
 
 
-def unique_names(rows: DataFrame, name: str, order: str, to: str = "unique_name") -> DataFrame:
-    """Adds ``to``: the first of equal names as it is, further ones with _2, _3 and so on."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return rows.withColumn("__k", k).withColumn(to, F.when(F.col("__k") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("__k").cast("string")))).drop("__k")
+#: Ranges of the order in which equal names are numbered by themselves.
+RANGES = 64
+
+
+def _ranges(rows: DataFrame, order: str) -> Column:
+    """Number of a row's range of ``order``: between the values of a few rows, those first by hash."""
+    some = rows.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(RANGES - 1).collect()
+    edges = [F.lit(x) for x in sorted({r[0] for r in some})]
+    return F.size(F.filter(F.array(*edges), lambda e: e <= F.col(order))) if edges else F.lit(0)
+
+
+def unique_names(rows: DataFrame, name: str, order: str, to: str = "unique_name", folder: str | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """Adds ``to``: names that are unique, by ``folder`` if given, and not among ``taken`` (rows of folder and name).
+
+    The first of equal names, by ``order``, stays as it is unless it is taken;
+    further ones get _2, _3 and so on, but no number whose name is a row's own
+    or taken.  So a result doesn't depend on the order of different names.
+
+    Equal names are numbered in ranges of the order with the counts of those
+    before, so that no task sees all rows of a name that many have.
+    """
+    key = ["__f", "__n"]
+    own = rows.withColumns({"__f": F.coalesce(F.col(folder), F.lit("")) if folder else F.lit(""), "__n": F.col(name), "__r": _ranges(rows, order)})
+    counts = own.groupBy(*key, "__r").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__before", before).drop("c")
+
+    used = counts.select(*key, F.lit(0).alias("__x"))
+    if taken is not None:
+        there = taken.select((F.coalesce(F.col(folder), F.lit("")) if folder else F.lit("")).alias("__f"), F.col(name).alias("__n"), F.lit(1).alias("__x"))
+        used = used.unionByName(there)
+    used = used.groupBy(*key).agg(F.max("__x").alias("__x"))
+    # numbers that can't be given to a name: those at the end of names in use
+    base, number = (F.regexp_extract("__n", r"(?s)^(.*)_([1-9][0-9]{0,17})\z", k) for k in (1, 2))
+    busy = used.select("__f", base.alias("__n"), F.nullif(number, F.lit("")).cast("long").alias("k")).where("k > 1").groupBy(*key).agg(F.sort_array(F.collect_set("k")).alias("__busy"))
+    info = used.join(busy, key, "left").where("__x > 0 or __busy is not null").withColumnsRenamed({"__f": "__g", "__n": "__m"})
+
+    nth = F.col("__before") + F.row_number().over(Window.partitionBy(*key, "__r").orderBy(order)) - 1
+    numbered = own.join(counts, [*key, "__r"]).withColumn("__k", nth)
+    numbered = numbered.join(info, (F.col("__f") == F.col("__g")) & (F.col("__n") == F.col("__m")), "left")
+    k = F.col("__k") + F.coalesce("__x", F.lit(0)) + 1
+    free = F.aggregate(F.coalesce("__busy", F.array().cast("array<bigint>")), k.cast("long"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    named = F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), free.cast("string")))
+    return numbered.withColumn(to, named).drop(*key, "__r", "__k", "__before", "__g", "__m", "__x", "__busy")

@@ -79,8 +79,8 @@ def epub_bytes(book_id: str, title: str, author: str, lang: str, files: list[str
     return out.getvalue()
 
 
-def build_epub(books: DataFrame) -> DataFrame:
-    """(book_id, epub, error) from book_id, title, author, lang, chapters and, if there, cover and cover_type.
+def build_epub(books: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(book_id, epub, error) and the columns ``keep``, from book_id, title, author, lang, chapters and, if there, cover and cover_type.
 
     XHTML is made in the JVM; Python only packs the archive.  A book that can't
     be packed has its error, and the others go on.
@@ -91,18 +91,19 @@ def build_epub(books: DataFrame) -> DataFrame:
         rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(kind))
     pages = F.transform("chapters", lambda c: xhtml(c["title"], c["body"], F.col("lang")))
     files = F.transform(F.sequence(F.lit(1), F.size("chapters")), chapter_file)
-    rows = rows.select(F.col("book_id").cast("string"), "title", "author", "lang", files.alias("files"), F.transform("chapters", lambda c: c["title"]).alias("titles"), pages.alias("pages"), "cover", F.coalesce("cover_type", F.lit("jpg")).alias("cover_type"))
+    rows = rows.select(F.col("book_id").cast("string"), "title", "author", "lang", files.alias("files"), F.transform("chapters", lambda c: c["title"]).alias("titles"), pages.alias("pages"), "cover", F.coalesce("cover_type", F.lit("jpg")).alias("cover_type"), F.struct(F.lit(0).alias("n"), *keep).alias("kept"))
+    schema = f"book_id string, epub binary, error string, kept {rows.schema['kept'].dataType.simpleString()}"
 
     def pack(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for f in frames:
             out = []
-            for r in f.itertuples(index=False):
+            for r in f.drop(columns="kept").itertuples(index=False):
                 try:
                     out.append((r.book_id, epub_bytes(r.book_id, r.title, r.author, r.lang, list(r.files), list(r.titles), list(r.pages), r.cover, r.cover_type), None))
                 except Exception as e:  # a broken book is a failed row
                     out.append((r.book_id, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["book_id", "epub", "error"])
+            yield pd.DataFrame(out, columns=["book_id", "epub", "error"]).assign(kept=list(f["kept"]))
 
-    return rows.mapInPandas(pack, "book_id string, epub binary, error string")
+    return rows.mapInPandas(pack, schema).select("book_id", "epub", "error", *[f"kept.{c}" for c in keep])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as K
@@ -17,21 +17,37 @@ def structure(books: DataFrame, clean: bool = True, detect: bool = True) -> Data
     return rows.withColumn("warning", warning)
 
 
-def described(books: DataFrame, title: str | None = None, author: str | None = None, lang: str = K.LANGUAGE) -> DataFrame:
-    """Adds title, author, lang and a unique file ``name``, from ``path`` and ``text`` where not given."""
+def described(books: DataFrame, title: str | None = None, author: str | None = None, lang: str = K.LANGUAGE, taken: DataFrame | None = None) -> DataFrame:
+    """Adds title, author, lang and a file ``name``, from ``path`` and ``text`` where not given.
+
+    Names are unique by ``folder``, if there is such a column, and not among
+    ``taken`` (folder, name).
+    """
     head = F.substring("text", 1, K.HEADER_CHARS)
     rows = books.withColumn("title", F.lit(title) if title else metadata.guess_title(F.col("path")))
     rows = rows.withColumn("author", F.lit(author) if author else metadata.author_or_default(metadata.suggest_author(head))).withColumn("lang", F.lit(lang))
-    names = metadata.unique_names(rows.select("book_id", metadata.safe_name(F.col("title")).alias("n")), "n", "book_id", "name")
+    folder = [c for c in ("folder",) if c in books.columns]
+    safe = metadata.safe_name(F.lit(title) if title else metadata.guess_title(F.col("path")))
+    names = metadata.unique_names(books.select("book_id", *folder, safe.alias("n")), "n", "book_id", "name", *folder, taken=taken.withColumnRenamed("name", "n") if taken is not None else None)
     return rows.join(names.select("book_id", "name"), "book_id")
 
 
-def convert(books: DataFrame, clean: bool = True, detect: bool = True, title: str | None = None, author: str | None = None, lang: str = K.LANGUAGE) -> DataFrame:
-    """(book_id, name, epub, status, message): done, warned or failed, a row per book of (book_id, path, text)."""
-    rows = structure(described(books, title, author, lang), clean, detect)
-    made = render.build_epub(rows).join(rows.select(F.col("book_id").cast("string").alias("book_id"), "name", "warning"), "book_id")
-    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("warning").isNotNull(), "warned").otherwise("done")
-    return made.select("book_id", "name", "epub", "error", status.alias("status"), F.coalesce("error", "warning").alias("message"))
+def status(error: Column, warning: Column) -> Column:
+    return F.when(error.isNotNull(), "failed").when(warning.isNotNull(), "warned").otherwise("done")
+
+
+def convert(books: DataFrame, clean: bool = True, detect: bool = True, title: str | None = None, author: str | None = None, lang: str = K.LANGUAGE, taken: DataFrame | None = None) -> DataFrame:
+    """(book_id, path, folder, name, n_chapters, epub, error, status, message): done, warned or failed, a row per book of (book_id, path, text) and, if there, folder, cover and cover_type."""
+    rows = structure(described(books, title, author, lang, taken), clean, detect)
+    rows = rows.withColumn("n_chapters", F.size("chapters"))
+    rows = rows if "folder" in rows.columns else rows.withColumn("folder", F.lit(None).cast("string"))
+    made = render.build_epub(rows, ("path", "folder", "name", "n_chapters", "warning"))
+    return made.select("book_id", "path", "folder", "name", "n_chapters", "epub", "error", status(F.col("error"), F.col("warning")).alias("status"), F.coalesce("error", "warning").alias("message"))
+
+
+def skipped(files: DataFrame) -> DataFrame:
+    """(path, status, message) of files too small for a book."""
+    return files.select("path", F.lit("skipped").alias("status"), F.lit(f"smaller than {K.TINY_BYTES} bytes").alias("message"))
 
 
 def summary(results: DataFrame) -> DataFrame:

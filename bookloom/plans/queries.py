@@ -181,8 +181,12 @@ def title_guess(spark, d):
 
 @query
 def unique_name(spark, d):
-    rows = _table(spark, d, "documents").select("doc_id", metadata.safe_name(F.concat(F.lit("Book: "), F.coalesce("source", F.lit("")))).alias("name"))
-    return metadata.unique_names(rows, "name", "doc_id")
+    """Names of books of a source, some of which end like numbered ones, some taken."""
+    t = _table(spark, d, "documents").withColumn("base", metadata.safe_name(F.concat(F.lit("Book: "), F.coalesce("source", F.lit("")))))
+    tail = F.when(F.col("doc_id") % 7 == 3, "_2").when(F.col("doc_id") % 11 == 5, "_4").when(F.col("doc_id") % 13 == 1, "_2_3").otherwise("")
+    rows = t.select("doc_id", F.concat("base", tail).alias("name"))
+    taken = t.where("doc_id % 50 = 0").select(F.concat("base", F.when(F.col("doc_id") % 100 == 0, "_3").otherwise("")).alias("name"))
+    return metadata.unique_names(rows, "name", "doc_id", taken=taken)
 
 
 @query
@@ -197,17 +201,43 @@ def toc_links(spark, d):
     return t.select("book_id", F.array_join(F.transform("toc", lambda x: F.concat(x["file"], F.lit("\t"), x["title"])), "\n").alias("toc"))
 
 
+def _epubs(rows) -> DataFrame:
+    return render.build_epub(rows.withColumns({"title": F.col("book_id"), "author": F.lit(K.UNKNOWN_AUTHOR), "lang": F.lit("en")}))
+
+
 @query
 def epub_build(spark, d):
-    rows = convert.structure(_structured(spark, d)).withColumns({"title": F.col("book_id"), "author": F.lit(K.UNKNOWN_AUTHOR), "lang": F.lit("en")})
-    return render.build_epub(rows).select("book_id", F.octet_length("epub").cast("long").alias("n_bytes"), F.md5("epub").alias("epub_md5"), "error")
+    rows = _epubs(convert.structure(_structured(spark, d)))
+    return rows.select("book_id", F.octet_length("epub").cast("long").alias("n_bytes"), F.md5("epub").alias("epub_md5"), "error")
+
+
+@query
+def epub_items(spark, d):
+    """Headings and paragraphs read back from the built files, in reading order."""
+    made = _epubs(convert.structure(_structured(spark, d)))
+    docs = files.epub_documents(made.select(F.col("book_id").alias("path"), F.col("epub").alias("content"))).where("href like '%chap_%'")
+    found = htmlscan.items(docs.withColumn("key", F.concat_ws("#", "path", F.format_string("%06d", "spine_no"))), "key")
+    w = Window.partitionBy("book_id").orderBy("key", "ord")
+    found = found.withColumn("book_id", F.regexp_replace("key", r"#\d+\z", "")).withColumn("n", F.row_number().over(w).cast("long"))
+    return found.select("book_id", "n", "tag", *_digest(F.regexp_replace("text", r"\s+", "")))
 
 
 @query
 def status_report(spark, d):
-    """Documents as files of a batch: skipped if tiny, else done."""
-    rows = X.documents(spark, d, "coalesce(text, '')")
-    return convert.summary(rows.select(F.when(files.big_enough(F.octet_length("text")), "done").otherwise("skipped").alias("status")))
+    """Documents as files of a batch: skipped if tiny, failed without a source, warned if long and without chapters, else done."""
+    rows = X.documents(spark, d, "repeat(coalesce(text, ''), case when doc_id % 5 = 0 then 20 else 1 end)")
+    warning = chapters.structure_warning(F.col("text"), F.lit(1))
+    error = F.when(F.col("doc_id") % 9 == 0, "broken")
+    return convert.summary(rows.select(F.when(files.big_enough(F.octet_length("text")), convert.status(error, warning)).otherwise("skipped").alias("status")))
+
+
+@query
+def converted(spark, d):
+    """Documents as text files through the whole plan: names and outcomes."""
+    rows = X.documents(spark, d, "coalesce(text, '')").withColumn("source", F.coalesce("source", F.lit("none")))
+    books = rows.select(F.col("doc_id").alias("book_id"), F.concat(F.lit("/in/"), "source", F.lit("/my_"), "source", F.lit(".txt")).alias("path"), F.concat(F.lit("/in/"), "source").alias("folder"), "text")
+    made = convert.convert(books)
+    return made.select(F.col("book_id").cast("long").alias("doc_id"), "folder", "name", (F.col("epub").isNotNull() & (F.col("n_chapters") > 0)).alias("built"))
 
 
 @query
@@ -256,21 +286,44 @@ def multiset_overlap(spark, d):
 
 @query
 def multiset_diff(spark, d):
-    return metrics.difference(*_two_sides(spark, d)).groupBy("source", "side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("line").alias("n_distinct"))
+    return metrics.difference(*_two_sides(spark, d), ["source", "line"]).groupBy("source", "side").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
 
 
-@query
-def lcs_titles(spark, d):
-    """Planted chapters against those found, in order."""
+def _titles(spark, d) -> DataFrame:
+    """(book_id, truth, predicted): planted and found titles of all books as tokens; books without planted ones have none that is true."""
     found = chapters.detect_chapters(_structured(spark, d), "text")
     planted = _table(spark, d, "documents").where("doc_id % 5 = 0").selectExpr("doc_id", f"{X.sql(X.BOOK, 'spark')} AS book_id")
     planted = planted.groupBy("book_id").agg(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: F.array(F.lit("chapter"), (F.floor(x / 5) % 40 + 1).cast("string"))).alias("truth"))
-    tokens = F.transform(F.filter("chapters", lambda c: ~c["title"].isin(K.INTRODUCTION, K.CONTENT)), lambda c: htmlscan.title_tokens(F.lower(c["title"])))
-    both = found.select("book_id", tokens.alias("predicted")).join(planted, "book_id")
+    rows = chapters.chapter_rows(found).select("book_id", "chap_no", "title")
+    own = metrics.predicted_titles(rows).groupBy("book_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chap_no", "title"))), lambda c: htmlscan.title_tokens(F.lower(c["title"]))).alias("predicted"))
+    none = F.array().cast("array<array<string>>")
+    both = found.select("book_id").join(own, "book_id", "left").join(planted, "book_id", "left")
+    return both.select("book_id", F.coalesce("truth", none).alias("truth"), F.coalesce("predicted", none).alias("predicted"))
+
+
+@query
+def lcs_titles(spark, d):
+    """Planted chapters against those found, in order."""
+    both = _titles(spark, d)
     hits = metrics.aligned(both).join(both.select("book_id", F.size("truth").cast("long").alias("truth"), F.size("predicted").cast("long").alias("predicted")), "book_id")
     return metrics.scores(hits, "book_id")
 
 
+@query
+def title_misses(spark, d):
+    """The first 15 planted titles missed and found titles false, by book."""
+    both = _titles(spark, d)
+    return metrics.unmatched(metrics.aligned(both), both).select("book_id", "side", "n", F.concat_ws(" ", "title").alias("title"))
+
+
+@query
+def title_hits(spark, d):
+    """Planted titles that some found title begins, without regard to order."""
+    both = _titles(spark, d)
+    hit = F.filter("truth", lambda t: F.exists("predicted", lambda p: metrics.title_match(t, p)))
+    return both.select("book_id", F.size(hit).cast("long").alias("n_hit"), F.size("truth").cast("long").alias("n_truth"))
+
+
 def _converted(spark, d) -> DataFrame:
     return convert.structure(_structured(spark, d))
 
@@ -290,7 +343,48 @@ def corpus_quantiles(spark, d):
 @query
 def corpus_topk(spark, d):
     """The 15 books of most chapters, ties by name."""
-    return corpus_report(spark, d).orderBy(F.desc("n_chapters"), "book_id").limit(15).select("book_id", "n_chapters")
+    return metrics.top(corpus_report(spark, d), "n_chapters", 15, True).select("book_id", "n_chapters", "n")
+
+
+@query
+def corpus_lowest(spark, d):
+    """The 10 documents of least coverage, of those below the threshold, had lines with an x or q been lost."""
+    docs = X.documents(spark, d, "coalesce(text, '')")
+    left = F.array_join(F.filter(T.lines(F.col("text")), lambda x: ~x.rlike("[xq]")), "\n")
+    shares = docs.select("doc_id", metrics.coverage(F.array(F.struct(F.lit("").alias("title"), left.alias("body"))), F.col("text")).alias("coverage"))
+    return metrics.top(shares.where(F.col("coverage") < K.COVERAGE), "coverage", 10, False, "doc_id")
+
+
+@query
+def corpus_single(spark, d):
+    """The first 10 documents, as books, of a single chapter."""
+    return metrics.top(_singles(spark, d).where("n_chapters = 1"), "doc_id", 10, False, "doc_id").select("doc_id", "n")
+
+
+@query
+def corpus_slowest(spark, d):
+    """The 5 events of the greatest value, as books of the longest time."""
+    e = _table(spark, d, "events").where("value is not null").select("event_id", F.col("value").alias("sec"))
+    return metrics.top(e, "sec", 5, True, "event_id")
+
+
+def _singles(spark, d) -> DataFrame:
+    docs = X.documents(spark, d, "case when doc_id % 3 = 0 then concat(coalesce(text, ''), {nl}, {nl}, 'Chapter 2', {nl}, {nl}, 'more') else coalesce(text, '') end").withColumn("book_id", F.col("doc_id"))
+    found = chapters.detect_chapters(docs, "text")
+    return found.select(F.col("book_id").alias("doc_id"), F.size("chapters").cast("long").alias("n_chapters"), metrics.coverage(F.col("chapters"), F.col("text")).alias("coverage"))
+
+
+@query
+def corpus_flags(spark, d):
+    """Documents, as books, of one chapter, of low coverage, or failed."""
+    return metrics.flagged(_singles(spark, d).select("n_chapters", "coverage", F.when(F.col("doc_id") % 9 == 0, "broken").alias("error")))
+
+
+@query
+def stress_titles(spark, d):
+    """Of the first book: its number of chapters and their first 25 titles."""
+    rows = chapters.chapter_rows(chapters.detect_chapters(_structured(spark, d).where(F.col("book_id") == _structured(spark, d).agg(F.min("book_id")).first()[0]), "text"))
+    return rows.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_chapters"), F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("chap_no", "title"))), 1, 25), lambda c: c["title"]), "\n").alias("titles"))
 
 
 @query
@@ -316,7 +410,7 @@ def heading_probe(spark, d):
 def quality_checks(spark, d):
     books = _converted(spark, d)
     expected = books.select("book_id", F.lit(5).alias("lo"), F.when(F.col("book_id").endswith("0"), 6).otherwise(500).alias("hi"))
-    return checks.check(books, expected).withColumn("n_chapters", F.col("n_chapters").cast("long"))
+    return checks.check(books, expected, _epubs(books).select("book_id", "error")).withColumn("n_chapters", F.col("n_chapters").cast("long"))
 
 
 @query
@@ -344,6 +438,15 @@ def expand_paths(spark, d):
     return files.expand(p.unionByName(p))
 
 
+@query
+def expand_in_order(spark, d):
+    """As ``expand_paths``, by the argument that named a file first."""
+    p = _paths(spark, d, "concat('/books/', cast(cast(floor(page_id / 2) as bigint) as string), case page_id % 3 when 0 then '.txt' when 1 then '.TXT' else '.md' end)")
+    p = p.select("path", ((F.col("page_id") * 7) % 5).alias("arg"))
+    found = files.expand_in_order(p.unionByName(p.withColumn("arg", F.col("arg") + 1)))
+    return found.withColumn("n", F.row_number().over(Window.orderBy("arg", "path")).cast("long")).select("path", "arg", "n")
+
+
 @query
 def cover_join(spark, d):
     t = _paths(spark, d, "concat('/b/Book', cast(page_id as string), '.txt')")

@@ -239,16 +239,32 @@ ORACLE["title_guess"] = r"""
 WITH s AS (SELECT page_id, url, CASE WHEN strpos(substr(n, 2), '.') > 0 THEN regexp_replace(n, '\.[^.]*$', '') ELSE n END AS stem FROM (SELECT page_id, url, string_split(url, '/')[-1] AS n FROM pages)),
 t AS (SELECT *, trim(regexp_replace(stem, '[_\-]+', ' ', 'g')) AS t, nullif(replace(trim(regexp_replace(url, '[^\p{L}\p{N}_\s\-]', '', 'g')), ' ', '_'), '') AS safe FROM s)
 SELECT page_id, stem, coalesce(array_to_string(list_transform(regexp_extract_all(t, '(\p{L}+|\P{L}+)'), lambda x: upper(x[1]) || lower(x[2:])), ''), '') AS title, coalesce(safe, 'book') AS safe FROM t"""
+# first-free numbering, stated by the candidates that are left
 ORACLE["unique_name"] = r"""
-WITH n AS (SELECT doc_id, replace(trim(regexp_replace('Book: ' || coalesce(source, ''), '[^\p{L}\p{N}_\s\-]', '', 'g')), ' ', '_') AS name FROM documents)
-SELECT doc_id, name, CASE row_number() OVER (PARTITION BY name ORDER BY doc_id) WHEN 1 THEN name ELSE name || '_' || row_number() OVER (PARTITION BY name ORDER BY doc_id) END AS unique_name FROM n"""
+WITH b AS (SELECT doc_id, replace(trim(regexp_replace('Book: ' || coalesce(source, ''), '[^\p{L}\p{N}_\s\-]', '', 'g')), ' ', '_') AS base FROM documents),
+n AS (SELECT doc_id, base || CASE WHEN doc_id % 7 = 3 THEN '_2' WHEN doc_id % 11 = 5 THEN '_4' WHEN doc_id % 13 = 1 THEN '_2_3' ELSE '' END AS name FROM b),
+taken AS (SELECT DISTINCT base || CASE WHEN doc_id % 100 = 0 THEN '_3' ELSE '' END AS name FROM b WHERE doc_id % 50 = 0),
+used AS (SELECT name FROM n UNION SELECT name FROM taken),
+k AS (SELECT doc_id, name, row_number() OVER (PARTITION BY name ORDER BY doc_id) - (name NOT IN (SELECT name FROM taken))::INT AS i FROM n),
+free AS (
+  SELECT name, name || '_' || j AS candidate, row_number() OVER (PARTITION BY name ORDER BY j) AS i
+  FROM (SELECT name, unnest(generate_series(2, max(i) + (SELECT count(*) FROM used) + 2)) AS j FROM k GROUP BY name) WHERE name || '_' || j NOT IN (SELECT name FROM used)
+)
+SELECT doc_id, k.name, CASE WHEN k.i = 0 THEN k.name ELSE candidate END AS unique_name FROM k LEFT JOIN free ON free.name = k.name AND free.i = k.i"""
 _FILE = "'chap_' || CASE WHEN chap_no < 1000 THEN lpad(chap_no::VARCHAR, 3, '0') ELSE chap_no::VARCHAR END || '.xhtml'"
 _TITLE = _ESC.format("title")
 _HEAD = "'" + "' || chr(10) || '".join(_q(K.XHTML_HEAD).replace("{lang}", "en").replace("{title}", f"' || {_TITLE} || '").split("\n")) + "'"
 _FOOT = "'" + "' || chr(10) || '".join(K.XHTML_FOOT.split("\n")) + "'"
 ORACLE["xhtml_chapters"] = f"{_CH}, s AS (SELECT book_id || '#' || chap_no AS id, * FROM chapters), {_html('s', 'id')}, p AS (SELECT book_id, {_FILE} AS file, {_HEAD} || html || {_FOOT} AS p FROM s JOIN html USING (id)) SELECT book_id, file, {_out('p', 'page')} FROM p"
 ORACLE["toc_links"] = f"{_CH} SELECT book_id, string_agg({_FILE} || chr(9) || title, chr(10) ORDER BY chap_no) AS toc FROM chapters GROUP BY book_id"
-ORACLE["status_report"] = "SELECT CASE WHEN strlen(coalesce(text, '')) >= 5120 THEN 'done' ELSE 'skipped' END AS status, count(*) AS n FROM documents GROUP BY 1"
+_LONG = X.documents_sql("repeat(coalesce(text, ''), case when doc_id % 5 = 0 then 20 else 1 end)")
+ORACLE["status_report"] = rf"""WITH {_LONG}
+SELECT CASE WHEN strlen(text) < 5120 THEN 'skipped' WHEN doc_id % 9 = 0 THEN 'failed' WHEN length(text) >= 50000 AND regexp_matches(text, '\S') THEN 'warned' ELSE 'done' END AS status, count(*) AS n FROM src GROUP BY 1"""
+ORACLE["converted"] = """
+WITH s AS (SELECT doc_id, coalesce(source, 'none') AS source FROM documents),
+t AS (SELECT doc_id, '/in/' || source AS folder, 'My_' || array_to_string(list_transform(regexp_extract_all(source, '([a-z]+|[^a-z]+)'), lambda x: upper(x[1]) || x[2:]), '') AS name FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY doc_id) AS k FROM t)
+SELECT doc_id, folder, name || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS name, true AS built FROM k"""
 ORACLE["norm_para"] = f"WITH {_PLAIN} SELECT doc_id, {_out(_KEY.format('text'))} FROM src"
 ORACLE["title_tokens"] = rf"WITH {_PLAIN}, t AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+') AS w FROM src) SELECT doc_id, len(w) AS n_tokens, {_out("coalesce(array_to_string(w, ' '), '')")} FROM t"
 
@@ -285,13 +301,41 @@ r AS (
   FROM k JOIN raw USING (book_id) JOIN cleaned USING (book_id)
 )"""
 ORACLE["corpus_report"] = f"{_CORPUS} SELECT book_id, n_chapters, coverage, CASE WHEN pct >= 98 THEN 'ok' WHEN pct >= 90 THEN 'warning' ELSE 'loss' END AS grade FROM r"
-ORACLE["corpus_topk"] = f"{_CORPUS} SELECT book_id, n_chapters FROM r ORDER BY n_chapters DESC, book_id LIMIT 15"
+ORACLE["corpus_topk"] = f"{_CORPUS} SELECT book_id, n_chapters, row_number() OVER (ORDER BY n_chapters DESC, book_id) AS n FROM r QUALIFY n <= 15"
+ORACLE["corpus_lowest"] = rf"""
+WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '[xq]')) AS kept FROM documents),
+c AS (SELECT doc_id, round(coalesce({_NONWS.format("coalesce(array_to_string(kept, ''), '')")} / nullif({_NONWS.format("text")}, 0), 1)::DOUBLE, 4) AS coverage FROM l)
+SELECT doc_id, coverage, row_number() OVER (ORDER BY coverage, doc_id) AS n FROM c WHERE coverage < 0.95 QUALIFY n <= 10"""
+_MORE = "CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || chr(10) || chr(10) || 'Chapter 2' || chr(10) || chr(10) || 'more' ELSE coalesce(text, '') END"
+_SINGLES = f"""WITH {_chapters(f"books AS (SELECT doc_id AS book_id, {_MORE} AS text FROM documents)")},
+k AS (SELECT book_id, count(*) AS n_chapters, sum({_NONWS.format("body")}) AS kept FROM chapters GROUP BY book_id),
+r AS (SELECT book_id AS doc_id, n_chapters, round(coalesce(kept / nullif({_NONWS.format("text")}, 0), 1)::DOUBLE, 4) AS coverage FROM k JOIN books USING (book_id))"""
+ORACLE["corpus_single"] = f"{_SINGLES} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM r WHERE n_chapters = 1 QUALIFY n <= 10"
+ORACLE["corpus_flags"] = f"""{_SINGLES}
+SELECT 'single' AS flag, count(*) AS n FROM r WHERE doc_id % 9 <> 0 AND n_chapters = 1 UNION ALL SELECT 'low_coverage', count(*) FROM r WHERE doc_id % 9 <> 0 AND coverage < 0.95 UNION ALL SELECT 'failed', count(*) FROM r WHERE doc_id % 9 = 0"""
+ORACLE["corpus_slowest"] = "SELECT event_id, value AS sec, row_number() OVER (ORDER BY value DESC, event_id) AS n FROM events WHERE value IS NOT NULL QUALIFY n <= 5"
+ORACLE["stress_titles"] = f"{_CH} SELECT book_id, count(*) AS n_chapters, string_agg(title, chr(10) ORDER BY chap_no) FILTER (chap_no <= 25) AS titles FROM chapters WHERE book_id = (SELECT min(book_id) FROM books) GROUP BY book_id"
+ORACLE["title_hits"] = rf"""{_CH},
+p AS (SELECT DISTINCT book_id, regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+') AS p FROM chapters WHERE title NOT IN ('Introduction', 'Content')),
+t AS (SELECT {X.sql(X.BOOK, "duck")} AS book_id, doc_id, ['chapter', (doc_id // 5 % 40 + 1)::VARCHAR] AS t FROM documents WHERE doc_id % 5 = 0),
+h AS (SELECT book_id, count(*) AS n_truth, count(*) FILTER (EXISTS (SELECT 1 FROM p WHERE p.book_id = t.book_id AND len(p.p) > 0 AND t.t[1:len(p.p)] = p.p)) AS n_hit FROM t GROUP BY book_id)
+SELECT book_id, coalesce(n_hit, 0) AS n_hit, coalesce(n_truth, 0) AS n_truth FROM books LEFT JOIN h USING (book_id)"""
+ORACLE["epub_items"] = rf"""{_CORPUS},
+i AS (
+  SELECT book_id, chap_no, 0 AS k, 'h1' AS tag, title AS t FROM chapters
+  UNION ALL SELECT book_id, chap_no, k, 'p', x FROM (SELECT book_id, chap_no, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM (SELECT *, string_split_regex(body, '\n\n+') AS p FROM chapters))
+),
+s AS (SELECT book_id, chap_no, k, tag, regexp_replace(t, '\s+', '', 'g') AS text FROM i)
+SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chap_no, k) AS n, tag, {_out("text")} FROM s WHERE text <> ''"""
+ORACLE["expand_in_order"] = """
+WITH p AS (SELECT '/books/' || (page_id // 2) || CASE page_id % 3 WHEN 0 THEN '.txt' ELSE '.TXT' END AS path, min(page_id * 7 % 5) AS arg FROM pages WHERE page_id % 3 <> 2 GROUP BY 1)
+SELECT path, arg, row_number() OVER (ORDER BY arg, path) AS n FROM p"""
 _AT = ", ".join(f"v[least(len(v) - 1, floor(len(v) * {share})::BIGINT) + 1] AS {name}" for share, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95")))
 ORACLE["corpus_quantiles"] = f"{_CORPUS} SELECT v[1] AS lo, {_AT}, v[-1] AS hi FROM (SELECT list_sort(list(n_chapters)) AS v FROM r)"
 ORACLE["quality_checks"] = f"""{_CORPUS},
 q AS (
   SELECT book_id, n_chapters, CASE WHEN whole >= 0.97 THEN 'pass' ELSE 'fail' END AS preserved, CASE WHEN strpos(cleaned, '--') = 0 THEN 'pass' ELSE 'fail' END AS dashes,
     CASE WHEN strpos(cleaned, {N2} || {N2}) = 0 THEN 'pass' ELSE 'warn' END AS newlines, CASE WHEN n_chapters >= 1 THEN 'pass' ELSE 'fail' END AS has_chapters, CASE WHEN odd THEN 'warn' ELSE 'pass' END AS titles,
-    CASE WHEN coverage >= 0.95 THEN 'pass' ELSE 'warn' END AS coverage, CASE WHEN n_chapters BETWEEN 5 AND CASE WHEN book_id LIKE '%0' THEN 6 ELSE 500 END THEN 'pass' ELSE 'warn' END AS expected FROM r
+    CASE WHEN coverage >= 0.95 THEN 'pass' ELSE 'warn' END AS coverage, CASE WHEN n_chapters BETWEEN 5 AND CASE WHEN book_id LIKE '%0' THEN 6 ELSE 500 END THEN 'pass' ELSE 'warn' END AS expected, 'pass' AS epub FROM r
 )
 SELECT *, CASE WHEN list_contains([preserved, dashes, newlines, has_chapters, titles, coverage, expected], 'fail') THEN 'fail' WHEN list_contains([preserved, dashes, newlines, has_chapters, titles, coverage, expected], 'warn') THEN 'warn' ELSE 'pass' END AS worst FROM q"""

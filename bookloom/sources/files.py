@@ -68,14 +68,49 @@ def big_enough(length: Column) -> Column:
     return length >= K.TINY_BYTES
 
 
+def _listed(spark: SparkSession, paths: list[str] | str, glob: str, below: bool = True) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", below).option("pathGlobFilter", glob).load(paths)
+
+
+def _both(spark: SparkSession, trees: list[str], folders: list[str], glob: str) -> DataFrame:
+    """Files in ``folders`` and anywhere under ``trees``, each once."""
+    parts = [_listed(spark, p, glob, below) for p, below in ((trees, True), (folders, False)) if p]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).dropDuplicates(["path"])
+
+
+def list_texts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, length) of the text files under ``paths``, each once; contents aren't read."""
+    return _listed(spark, paths, "*.[tT][xX][tT]").select("path", "length").dropDuplicates(["path"])
+
+
 def read_texts(spark: SparkSession, paths: list[str] | str, skip_tiny: bool = True) -> DataFrame:
     """(book_id, path, length, text) of the text files under ``paths``; the size filter reaches the scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").load(paths)
+    files = _listed(spark, paths, "*.[tT][xX][tT]")
     if skip_tiny:
         files = files.where(big_enough(F.col("length")))
     return files.dropDuplicates(["path"]).select(F.col("path").alias("book_id"), "path", "length", decode(F.col("content")).alias("text"))
 
 
+def folder_of(path: Column) -> Column:
+    return F.regexp_replace(path, r"/[^/]*\z", "")
+
+
+def list_epubs(spark: SparkSession, trees: list[str], folders: list[str]) -> DataFrame:
+    """(folder, name) of the EPUB files in ``folders`` and anywhere under ``trees``."""
+    path = _both(spark, trees, folders, "*.[eE][pP][uU][bB]").select("path")
+    return path.select(folder_of(F.col("path")).alias("folder"), metadata.stem(F.col("path")).alias("name"))
+
+
+def with_covers(books: DataFrame, trees: list[str], folders: list[str]) -> DataFrame:
+    """``books`` with ``cover`` and ``cover_type``: the image beside each text with its stem, or null; images are sought in ``folders`` and anywhere under ``trees``."""
+    kinds = ",".join("".join(f"[{c}{c.upper()}]" for c in kind) for kind in K.COVER_TYPES)
+    images = _both(books.sparkSession, trees, folders, f"*.{{{kinds}}}")
+    found = find_covers(books.select("path"), images.select("path")).where("cover_path is not null").withColumnRenamed("path", "p")
+    content = found.join(images.select(F.col("path").alias("cover_path"), F.col("content").alias("cover")), "cover_path")
+    kind = F.lower(F.regexp_extract("cover_path", r"\.([^./]+)\z", 1)).alias("cover_type")
+    return books.join(content.select("p", "cover", kind), books["path"] == F.col("p"), "left").drop("p")
+
+
 def find_covers(texts: DataFrame, images: DataFrame) -> DataFrame:
     """(path, cover_path): of images in the same folder with the same stem, the first by type; null if there is none."""
     folder = lambda c: F.regexp_replace(c, r"[^/]*\z", "")
@@ -97,6 +132,12 @@ def read_ground_truth(spark: SparkSession, paths: list[str] | str, suffix: str =
     return rows.select("stem", (F.row_number().over(Window.partitionBy("stem").orderBy("pos")) - 1).alias("ord"), "title")
 
 
+def with_truth(texts: DataFrame, truth: DataFrame) -> DataFrame:
+    """Texts that have ground truth, with it: an inner join on the stem, titles in order as ``truth``."""
+    titles = truth.groupBy("stem").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]).alias("truth"))
+    return texts.withColumn("stem", metadata.stem(F.col("path"))).join(titles, "stem")
+
+
 def spine(z: zipfile.ZipFile) -> list[str]:
     """Documents of an EPUB in reading order."""
     local = lambda e: e.tag.rpartition("}")[2]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bookloom import cli
 from bookloom.functions import text as T
-from bookloom.operators import blocks, chapters, htmlscan, metadata, metrics, normalize, render
+from bookloom.operators import blocks, chapters, checks, htmlscan, metadata, metrics, normalize, render
 from bookloom.plans import convert
 from bookloom.sources import files, sinks
 from bookloom.streaming import dropfolder
@@ -128,9 +128,9 @@ def test_command_line_and_files(spark, tmp_path):
     out = tmp_path / "out"
     assert cli.main([str(tmp_path / "in"), "-o", str(out), "-q"], spark) == 0
     assert [p.name for p in out.iterdir()] == ["My_Book.epub"]
-    with pytest.raises(SystemExit) as e:
-        cli.main([str(tmp_path / "in"), "--title", "x"], spark)
-    assert e.value.code == 2
+    with zipfile.ZipFile(out / "My_Book.epub") as z:
+        assert z.read("EPUB/cover.jpg") == b"x"
+    assert cli.main([str(tmp_path / "in"), "--title", "x"], spark) == 2
     assert [tuple(r) for r in files.read_ground_truth(spark, str(tmp_path / "in")).orderBy("ord").collect()] == [("s", 0, "One"), ("s", 1, "Two")]
     books = files.read_texts(spark, str(tmp_path / "in"))
     covers = files.find_covers(books, spark.read.format("binaryFile").load(str(tmp_path / "in" / "*.JPG"))).first()
@@ -141,6 +141,65 @@ def test_command_line_and_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "r.csv")).first().chapters == "2"
 
 
+def test_outcomes_of_the_command_line(spark, tmp_path, capsys):
+    src = tmp_path / "in"
+    (src / "deep").mkdir(parents=True)
+    long = "\n".join(["x" * 200] * 300)
+    for name, text in (("my_book.txt", BOOK), ("my-book.txt", BOOK), ("deep/my_book.txt", BOOK), ("flat.txt", long), ("tiny.txt", "tiny")):
+        (src / name).write_text(text)
+    (src / "My_Book_2.epub").write_bytes(b"there")
+    assert cli.main([str(src), str(src / "notes.md"), str(src / "gone.txt")], spark) == 1
+    said = capsys.readouterr()
+    # beside each text, no name taken
+    assert sorted(p.name for p in src.glob("*.epub")) == ["Flat.epub", "My_Book.epub", "My_Book_2.epub", "My_Book_3.epub"] and (src / "My_Book_2.epub").read_bytes() == b"there"
+    assert [p.name for p in (src / "deep").glob("*.epub")] == ["My_Book.epub"]
+    assert "tiny.txt: smaller than 5120 bytes" in said.out and "3 done, 1 warned, 1 skipped, 1 failed" in said.out
+    assert "flat.txt: 1 chapters to" in said.err and "No chapter structure" in said.err and "gone.txt: no such file" in said.err and "notes.md: no text file" in said.err
+    assert cli.main([str(src / "notes.md")], spark) == 2
+    assert cli.main([str(src / "deep" / "none")], spark) == 2
+    # a folder of one file is no batch: a title may be given, and no file is too small
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "t.txt").write_text("tiny")
+    (tmp_path / "c.png").write_bytes(b"img")
+    assert cli.main([str(tmp_path / "one"), "--title", "Given: One", "--cover", str(tmp_path / "c.png"), "-o", str(tmp_path / "out" / "new")], spark) == 0
+    with zipfile.ZipFile(tmp_path / "out" / "new" / "Given_One.epub") as z:
+        assert z.read("EPUB/cover.png") == b"img" and b"Given: One" in z.read("EPUB/content.opf")
+
+
+def test_truth_and_text_by_stem(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("text")
+    (tmp_path / "b.txt").write_text("text")
+    (tmp_path / "a.headings.txt").write_text("One\n\n Two \n")
+    (tmp_path / "c.headings.txt").write_text("Three")
+    got = files.with_truth(files.read_texts(spark, str(tmp_path), False), files.read_ground_truth(spark, str(tmp_path))).collect()
+    assert [(r.stem, r.truth) for r in got] == [("a", ["One", "Two"])]
+
+
+def test_arguments_in_order(spark):
+    rows = spark.createDataFrame([("b.txt", 2), ("a.TXT", 2), ("c.txt", 1), ("b.txt", 3), ("d.md", 0)], "path string, arg int")
+    assert [r.path for r in files.expand_in_order(rows).collect()] == ["c.txt", "a.TXT", "b.txt"]
+
+
+def test_heading_draft(spark, tmp_path):
+    items = spark.createDataFrame([("x", 0, "h1", "One"), ("x", 1, "p", "text"), ("x", 2, "h2", "Two"), ("y", 0, "h3", "Three")], "path string, ord int, tag string, text string")
+    sinks.write_heading_draft(items, str(tmp_path / "draft"))
+    got = {d: "".join(p.read_text() for p in sorted((tmp_path / "draft" / f"doc={d}").glob("*.txt"))) for d in "xy"}
+    assert got == {"x": "h1\tOne\nh2\tTwo\n", "y": "h3\tThree\n"}
+
+
+def test_unmatched_titles(spark):
+    books = spark.createDataFrame([("b", [["one"], ["two"], ["three", "x"]], [["one"], ["new"], ["three"]]), ("c", [], [["x"]])], "book_id string, truth array<array<string>>, predicted array<array<string>>")
+    got = metrics.unmatched(metrics.aligned(books), books, k=1)
+    assert sorted((r.book_id, r.side, r.n, r.title[0]) for r in got.collect()) == [("b", "false", 1, "new"), ("b", "missed", 1, "two"), ("c", "false", 1, "x")]
+
+
+def test_books_without_a_file_fail(spark):
+    books = convert.structure(spark.createDataFrame([("b", BOOK), ("c", BOOK), ("d", BOOK)], "book_id string, text string"))
+    epubs = spark.createDataFrame([("b", None), ("c", "ValueError")], "book_id string, error string")
+    got = {r.book_id: (r.epub, r.worst) for r in checks.check(books, None, epubs).collect()}
+    assert got == {"b": ("pass", "pass"), "c": ("fail", "fail"), "d": ("fail", "fail")}
+
+
 def test_drop_folder_goes_on(spark, tmp_path):
     src, to, cp = (str(tmp_path / x) for x in ("src", "to", "cp"))
     (tmp_path / "src").mkdir()
