@@ -93,10 +93,10 @@ def runs(b: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarra
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix(b: np.ndarray, fold: bool) -> np.ndarray:
-    """Running sums from which any substring's hash follows (see span_hash)."""
+def prefix(b: np.ndarray, fold: bool, table: np.ndarray | None = None) -> np.ndarray:
+    """Running sums from which any substring's hash follows (see span_hash); a ``table`` of byte values gives hashes of its own."""
     out = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[b] * _power(_BASE, len(b)), out=out[1:])
+    np.cumsum((table if table is not None else _FOLDED if fold else _BYTE)[b] * _power(_BASE, len(b)), out=out[1:])
     return out
 
 

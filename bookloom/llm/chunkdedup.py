@@ -4,15 +4,17 @@ A gear rolling hash over the last 16 bytes cuts every text where its upper bits
 are zero, so cuts depend on nearby bytes only and come back into step within a
 chunk after an insertion.  A cut too near the one before is dropped, a chunk
 beyond the largest size is split, and cuts never fall inside a character.
-Chunks are known by a 128-bit digest.  A chunk that occurs elsewhere is
+Chunks are known by a digest of 128 bits, two rolling hashes of their bytes.  A chunk that occurs elsewhere is
 repeated; of each run of repeated chunks of at least ``min_run`` bytes, those
 that have an earlier occurrence (by document, then offset) are removed.  Short
 runs, common phrases of a few words, are left alone, also inside a first copy.
 
-Scale: one row of about 40 bytes per chunk; counts are pre-aggregated by digest
-before the shuffle and the join back is one that Spark can split, so a passage
-that a third of all documents share is no hot spot.  Texts are shuffled only
-for documents that lose something.
+Scale: texts are chunked twice.  The first pass counts half digests, 16 bytes a
+chunk and pre-aggregated; the second keeps places of chunks whose half digest
+occurs again, picked out by a bit set of bounded size, and only those are
+shuffled further.  Counts are pre-aggregated by digest and the join back is one
+that Spark can split, so a passage that a third of all documents share is no
+hot spot.  Texts are shuffled only for documents that lose something.
 
 Defined cases: null text stays null and has no chunks; empty text has none
 either; rows with equal id and text count as one document; of equal chunks in a
@@ -21,7 +23,6 @@ text the first is the earlier one; a null id comes before all others.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,9 @@ CUT_BITS, SMALLEST, LARGEST = 4, 8, 512
 #: Bytes that a run of repeated chunks must have (some 10 words).
 MIN_RUN = 60
 
+#: Byte values of the two hashes that make a digest.
+_HALVES = (_bytes._splitmix(256, 505), _bytes._splitmix(256, 606))
+
 _GEAR = (_bytes._splitmix(256, 404) >> np.uint64(32)).astype(np.uint32)
 #: Of a 32-bit sum of the last 16 bytes, bits that all 16 have a part in.
 _MASK = np.uint32(((1 << CUT_BITS) - 1) << 16)
@@ -79,9 +83,9 @@ def cuts(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, digest, start, size) of every chunk, in bytes; ``t`` is the text's hash."""
+    """(doc_id, t, h1, h2, start, size) of every chunk, in bytes; ``t`` is the text's hash, h1 and h2 the digest."""
     ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("digest", pa.binary(16)), ("start", pa.int64()), ("size", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int64()), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,23 +96,14 @@ def chunks(docs: DataFrame) -> DataFrame:
                 if not len(own):
                     continue
                 starts, by_text = cuts(own, o)
-                size = np.diff(np.append(starts, len(own)))
+                ends = np.append(starts[1:], len(own))
                 n = np.diff(by_text)
-                raw = own.tobytes()
-                hashed = b"".join([hashlib.blake2b(raw[s : s + k], digest_size=16).digest() for s, k in zip(starts.tolist(), size.tolist(), strict=True)])
                 row = pa.array(np.repeat(np.arange(i, j), n))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(row),
-                        batch.column(1).take(row),
-                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(starts), [None, pa.py_buffer(hashed)]).cast(pa.binary()),
-                        pa.array(starts - np.repeat(o[:-1], n)),
-                        pa.array(size.astype(np.int32)),
-                    ],
-                    schema=pa.schema([*list(schema)[:2], ("digest", pa.binary()), *list(schema)[3:]]),
-                )
+                halves = [pa.array(_bytes.span_hash(_bytes.prefix(own, False, h), starts, ends).view(np.int64)) for h in _HALVES]
+                place = [pa.array(starts - np.repeat(o[:-1], n)), pa.array((ends - starts).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *halves, *place], schema=schema)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, digest binary, start long, size int")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, h1 long, h2 long, start long, size int")
 
 
 def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -118,10 +113,13 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     too; ``spans`` (start, end) in bytes are to be removed, merged and sorted.
     """
     own = docs.select("doc_id", "text").where("text is not null")
+    counted = chunks(own).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
+    twice = saved(counted.where("n > 1").select("h1"), "chunk_digests")
     # only rows of an id that occurs again can be equal
     again = saved(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "chunk_ids")
     maybe, single = split_by_keys(own, again, ["doc_id"])
-    found = repeats(saved(chunks(maybe).distinct().unionByName(chunks(single)), "chunks"), ["digest"], ["doc_id", "t", "start"])
+    spots = [split_by_keys(chunks(x), twice, ["h1"])[0] for x in (maybe, single)]
+    found = repeats(saved(spots[0].distinct().unionByName(spots[1]), "chunks"), ["h1", "h2"], ["doc_id", "t", "start"])
     doc = Window.partitionBy("doc_id", "t").orderBy("start")
     # a run goes on as long as each chunk starts where the one before ends
     new = F.coalesce(F.lag(F.col("start") + F.col("size")).over(doc) != F.col("start"), F.lit(True))
@@ -139,11 +137,11 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
 def _left(text, spans):
     """The text without the byte spans."""
-    raw = F.encode(text, "UTF-8")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
     starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length(text).cast("long")))
-    piece = lambda a, z: F.decode(F.substr(raw, (a + 1).cast("int"), (z - a).cast("int")), "UTF-8")
-    return F.array_join(F.zip_with(ends, starts, piece), "")
+    piece = lambda raw: lambda a, z: F.decode(F.substr(raw, (a + 1).cast("int"), (z - a).cast("int")), "UTF-8")
+    # the bytes are bound once, not made anew for each piece
+    return F.transform(F.array(F.encode(text, "UTF-8")), lambda raw: F.array_join(F.zip_with(ends, starts, piece(raw)), ""))[0]
 
 
 def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
