@@ -1,21 +1,32 @@
 """Mixing sources to target weights by entropy balancing.
 
-Of all document rates r with the given token totals by source, the one nearest
-to the prior rates q in relative entropy (by token) is exponentially tilted:
-r = min(cap, q * exp(lambda of the source)).  The convex dual in lambda is
-solved by safeguarded Newton steps, for all sources at once and where their sums
-are: the documents are summed once by source and prior rate, a prior is held
-to a thousandth, and so each source's problem is one row of bounded size.
-Rates then become whole copies by systematic rounding along the documents of a
-source in order of size, so that the words taken stay within about one
-document of the target and a rerun takes the same copies.
-
-Scale: three narrow aggregates; texts are only counted.  The order along a
-source is cut into many small runs (size class and hash), whose counts are
-summed to give each run its place; so no task sees a whole source.
+Of all document rates r, between 0 and ``cap``, whose tokens add up to each
+source's target, the one nearest to the prior rates q in relative entropy (sum
+of r * log(r / q) - r + q over documents) is exponentially tilted:
+r = min(cap, q * exp(lambda * size)), with one lambda for each source's token
+constraint.  So rates differ between documents: a source that must shrink gives
+up its long documents first, one that must grow repeats them first.
+
+The convex dual in lambda is solved by Newton steps, for all sources at once;
+each is one distributed aggregate over cells, the counts of documents by source,
+size and prior, with the step kept inside a bracket of the root.  The driver
+sees one truth value per step.
+
+Rates then become whole copies.  Down the sizes of a source, each cell takes the
+nearest whole number of copies of its own words and of what larger ones left
+over, so the error that remains at the end is about half the smallest document.
+A cell's copies are dealt evenly to its documents in order of a hash of the id,
+so that a rerun takes the same.
+
+Scale: texts are counted once, into a table of a few numbers a row.  A cell's
+documents are numbered in runs of about ``RUN`` rows, by hash, with the counts of
+the runs before; so no task sees a whole source, nor a whole cell of a hot size.
+One task rounds the cells of a source; there are at most as many as different
+sizes (words of the longest text) times prior levels.
 
 Defined cases: null text has size 0, and size 0 takes 0 words; a null source is
-a source of its own, the last; equal rows are interchangeable; no rows, no mix.
+a source of its own, the last; a null prior counts as 1, and a document with one
+of 0 or less isn't taken; equal rows are interchangeable; no rows, no mix.
 """
 
 from __future__ import annotations
@@ -23,14 +34,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from ._common import saved
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
-#: Runs by hash within a source's size class.
-SALTS = 64
-NEWTON_STEPS = 64
-#: Below this logarithm a rate is as good as 0.
-LOWEST = -40.0
-#: Rates are rounded to so many parts of one, for whole-number arithmetic.
+#: Rows that are numbered by one task at a time, about.
+RUN = 100_000
+#: Priors are held to so many levels an octave.
+LEVELS = 16
+#: Newton steps at most, and the relative error at which a source is done.
+STEPS, CLOSE = 200, 1e-12
+#: Rates below exp(-LOWEST) are as good as 0; and exponents above HIGHEST as infinity.
+LOWEST, HIGHEST = 40.0, 700.0
+#: Rates are rounded to so many parts of one.
 PARTS = 10**7
 
 
@@ -60,52 +77,93 @@ def targets(sources: DataFrame, share: float = SHARE, cap: float = CAP, weights:
     return filled.withColumn("target", F.when(F.col("level").isNull(), full).otherwise(F.least(share_of, full)).cast("double")).select("source", "source_size", "target")
 
 
-def tilt(cells: Column, target: Column, cap: float = CAP, steps: int = NEWTON_STEPS) -> Column:
-    """lambda of a source from its cells (array of q, size): Newton on the dual, kept inside a bracket of its root.
-
-    The dual's slope is the words taken less the target and its curvature the
-    words taken by documents below the cap.  Beyond the bracket's upper end all
-    documents are at the cap; where a step would leave the bracket, it is
-    halved instead.  A target of 0 has its root at -infinity, which the lower
-    end reaches well enough to round to no copies.
-    """
-    rate = lambda c, lam: c["q"] * F.exp(lam)
-    taken = lambda lam: F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.least(F.lit(cap), rate(c, lam)) * c["size"])
-    free = lambda lam: F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.when(rate(c, lam) < cap, rate(c, lam) * c["size"]).otherwise(F.lit(0.0)))
-    state = lambda lam, lo, hi: F.struct(lam.alias("lam"), lo.alias("lo"), hi.alias("hi"))
+def _tilted() -> Column:
+    """q * exp(lambda * size), before the cap."""
+    return F.col("q") * F.exp(F.least(F.lit(HIGHEST), F.col("lam") * F.col("size")))
 
-    def step(s: Column, _: Column) -> Column:
-        over = taken(s["lam"]) - target
-        lo, hi = F.when(over > 0, s["lo"]).otherwise(s["lam"]), F.when(over > 0, s["lam"]).otherwise(s["hi"])
-        newton = s["lam"] - F.try_divide(over, free(s["lam"]))
-        return state(F.when((newton >= lo) & (newton <= hi), newton).otherwise((lo + hi) / 2), lo, hi)
 
-    top = F.log(F.lit(cap)) - F.log(F.array_min(F.transform(cells, lambda c: c["q"])))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state(F.least(F.lit(0.0), top), F.lit(LOWEST), top), step)
-    return found["lam"]
+def tilts(cells: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFrame:
+    """(skey, target, lam) by Newton on the dual, from cells (skey, size, q, n) and (skey, target).
 
-
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", prior: str | None = None, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS, salts: int = SALTS) -> DataFrame:
+    The dual's slope is the words taken less the target, its curvature the sum
+    of rate * size ** 2 over documents below the cap.  At the bracket's upper
+    end all documents are at the cap, at its lower end they are as good as gone;
+    where a step would leave the bracket, it is halved instead.
+    """
+    n, size, q = F.col("n"), F.col("size"), F.col("q")
+    ends = (
+        cells.where("size > 0 and q > 0")
+        .groupBy("skey")
+        .agg(F.min("size").alias("least"), F.min("q").alias("q0"), F.max("q").alias("q1"), F.sum(n * size).cast("double").alias("words"), (F.sum(n * size * size) / F.sum(n * size)).alias("mean"))
+    )
+    lo, hi = -(F.lit(LOWEST) + F.greatest(F.log("q1"), F.lit(0.0))) / F.col("least"), (F.log(F.lit(cap)) - F.log("q0")) / F.col("least")
+    state = wanted.join(ends, "skey", "left").select("skey", "target", lo.alias("lo"), hi.alias("hi"), "words", "mean")
+    full = F.col("words").isNull() | (F.col("target") >= F.col("words") * F.lit(cap) * (1 - CLOSE))
+    first = F.greatest("lo", F.least("hi", F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("words")) / F.col("mean")))
+    state = saved(state.select("skey", "target", "lo", "hi", F.when(full, F.coalesce("hi", F.lit(0.0))).otherwise(first).alias("lam"), full.alias("done")), "mix_dual")
+    for _ in range(STEPS):
+        if state.where("not done").isEmpty():
+            break
+        rate = _tilted()
+        sums = cells.join(state.select("skey", "lam"), "skey").groupBy("skey").agg(F.sum(n * size * F.least(F.lit(cap), rate)).alias("taken"), F.sum(F.when(rate < cap, n * size * size * rate).otherwise(0.0)).alias("free"))
+        over = F.col("taken") - F.col("target")
+        s = state.join(sums, "skey").withColumn("over", over)
+        s = s.withColumn("lo", F.when(F.col("over") > 0, F.col("lo")).otherwise(F.col("lam"))).withColumn("hi", F.when(F.col("over") > 0, F.col("lam")).otherwise(F.col("hi")))
+        near = (F.abs("over") <= F.col("target") * CLOSE) | (F.col("hi") - F.col("lo") <= F.greatest(F.abs("lo"), F.abs("hi")) * 1e-15)
+        newton = F.col("lam") - F.try_divide(F.col("over"), F.col("free"))
+        step = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+        stay = F.col("done") | near
+        state = saved(s.select("skey", "target", "lo", "hi", F.when(stay, F.col("lam")).otherwise(step).alias("lam"), stay.alias("done")), "mix_dual")
+    return state.select("skey", "target", "lam")
+
+
+def whole_copies(sizes: list, numbers: list, parts: list, cap: float = CAP) -> list:
+    """Copies of each cell of a source, cells by falling size: rounded with what the ones before left over."""
+    out, left = [], 0.0
+    for size, n, part in zip(sizes, numbers, parts, strict=True):
+        if size:
+            left += float(n) * float(part) * float(size) / PARTS
+            k = min(max(int((left / size + 0.5) // 1), 0), int(cap * n))
+            left -= float(k) * float(size)
+        else:
+            k = int((float(n) * float(part) / PARTS + 0.5) // 1)
+        out.append(k)
+    return out
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", prior: str | None = None, share: float = SHARE, cap: float = CAP, weights: tuple[float, ...] = WEIGHTS, run: int = RUN) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken), a row per row of ``docs``."""
-    q = F.lit(1.0) if prior is None else F.greatest(F.lit(0.001), F.round(F.coalesce(F.col(prior), F.lit(1.0)), 3))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), q.cast("double").alias("q"))
-    rows = rows.withColumn("class", F.floor(F.log1p(F.col("size").cast("double")) * 16)).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("salt", F.conv(F.substring("hash", 1, 6), 16, 10).cast("int") % salts)
-    run = ["source", "q", "class", "salt"]
-    runs = rows.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("run_size"))
-    cells = runs.groupBy("source", "q").agg(F.sum("run_size").cast("double").alias("size"))
-    sums = cells.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.sort_array(F.collect_list(F.struct("q", "size"))).alias("cells"))
-    wanted = targets(sums.select("source", "source_size"), share, cap, weights).withColumnRenamed("source", "__s")
-    tilted = sums.join(wanted.drop("source_size"), sums["source"].eqNullSafe(wanted["__s"])).drop("__s")
-    tilted = tilted.withColumn("lambda", tilt(F.col("cells"), F.col("target"), cap)).drop("cells").withColumnRenamed("source", "__s")
-
-    along = Window.partitionBy("source", "q").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    placed = runs.withColumn("place", F.coalesce(F.sum("n").over(along), F.lit(0)))
-    placed = placed.join(tilted, placed["source"].eqNullSafe(tilted["__s"])).select(*[F.col(c).alias(f"__{c}") for c in run], "place", "source_size", "target", F.least(F.lit(cap), F.col("q") * F.exp("lambda")).alias("rate"))
-    order = Window.partitionBy(*run).orderBy("size", "hash", "doc_id")
-    rows = rows.withColumn("nth", F.row_number().over(order))
-    same = [rows[c].eqNullSafe(placed[f"__{c}"]) for c in run]
-    rows = rows.join(placed, same[0] & same[1] & same[2] & same[3])
-    up_to = lambda k: F.expr(f"(cast(rate * {PARTS} + 0.5 as bigint) * ({k}) + {PARTS // 2}) div {PARTS}")
-    rows = rows.withColumn("copies", up_to("place + nth") - up_to("place + nth - 1"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    ship(docs.sparkSession)
+    p = F.lit(1.0) if prior is None else F.coalesce(F.col(prior).cast("double"), F.lit(1.0))
+    level = F.when(p > 0, F.round(F.log2(p) * LEVELS).cast("int"))
+    spread = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), level.alias("level"), spread.alias("hash"))
+    rows = saved(rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("lkey", F.coalesce("level", F.lit(1 << 30))), "mix_rows")
+    runs_a_cell = 1 + rows.count() // run
+    rows = rows.withColumn("run", F.shiftright(F.col("hash") * runs_a_cell, 32))
+
+    cell, part = ["skey", "lkey", "size"], ["skey", "lkey", "size", "run"]
+    runs = saved(rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"), F.first("level").alias("level")), "mix_runs")
+    q = F.coalesce(F.pow(F.lit(2.0), F.col("level") / LEVELS), F.lit(0.0))
+    cells = saved(runs.groupBy(*cell).agg(F.sum("n").alias("n"), F.first("source").alias("source"), F.first("level").alias("level")).withColumn("q", q), "mix_cells")
+    sums = cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    wanted = saved(targets(sums, share, cap, weights).withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"), "mix_targets")
+    tilted = tilts(cells, wanted.select("skey", "target"), cap)
+
+    parts = F.floor(F.least(F.lit(cap), _tilted()) * PARTS + 0.5).cast("long")
+    rated = cells.join(tilted, "skey").select(*cell, "n", parts.alias("parts"))
+
+    def rounded(of):
+        of = of.sort_values(["size", "lkey"], ascending=[False, True])
+        of["k"] = whole_copies(of["size"].tolist(), of["n"].tolist(), of["parts"].tolist(), cap)
+        return of
+
+    dealt = rated.groupBy("skey").applyInPandas(rounded, "skey string, lkey int, size long, n long, parts long, k long").withColumnRenamed("n", "cell_n")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*cell).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = runs.select(*part, before.alias("place")).join(dealt, cell).join(wanted, "skey")
+    nth = F.row_number().over(Window.partitionBy(*part).orderBy("hash", "doc_id"))
+    found = rows.select("doc_id", "source", *part, "hash", nth.alias("nth")).join(placed, part)
+    found = found.withColumn("rank", F.col("place") + F.col("nth"))
+    copies = F.expr("k * rank div cell_n - k * (rank - 1) div cell_n")
+    found = found.withColumn("copies", copies)
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("parts") / PARTS).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -61,10 +61,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 OP9 = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS hash FROM documents
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS skey, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[:8])::BIGINT AS hash FROM documents
 ),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+s AS (SELECT skey, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY any_value(source) NULLS LAST) AS rank FROM d GROUP BY skey),
 w AS (SELECT *, [5.0, 2.0, 1.0][(rank - 1) % 3 + 1]::DOUBLE AS weight FROM s),
 f AS (
   SELECT *, sum(source_size) OVER ()::DOUBLE * 1.5 - coalesce(sum(source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 2.0 AS rest,
@@ -72,13 +72,33 @@ f AS (
   FROM w
 ),
 l AS (SELECT rest, open FROM f WHERE NOT rest * weight / open > source_size * 2.0 ORDER BY source_size / weight, rank LIMIT 1),
-t AS (SELECT f.source, source_size, coalesce(least(l.rest * weight / l.open, source_size * 2.0), source_size * 2.0)::DOUBLE AS target FROM f LEFT JOIN l ON true),
-k AS (
-  SELECT doc_id, size, source_size, target, floor(coalesce(target / nullif(source_size, 0), 0) * 10000000 + 0.5)::BIGINT AS parts,
-    row_number() OVER (PARTITION BY d.source ORDER BY floor(ln(1 + size) * 16), ('0x' || hash[:6])::BIGINT % 64, size, hash, doc_id) AS nth
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target, size * ((parts * nth + 5000000) // 10000000 - (parts * (nth - 1) + 5000000) // 10000000) AS taken FROM k
+t AS (SELECT f.skey, source_size, coalesce(least(l.rest * weight / l.open, source_size * 2.0), source_size * 2.0)::DOUBLE AS target FROM f LEFT JOIN l ON true),
+cell AS (SELECT skey, size, count(*) AS n, row_number() OVER (PARTITION BY skey ORDER BY size DESC) AS rank FROM d GROUP BY skey, size),
+listed AS (SELECT skey, target, list({'n': n, 's': size}) AS cells FROM cell JOIN t USING (skey) GROUP BY skey, target),
+-- the dual's root by halving
+half AS (
+  SELECT skey, target, cells, -40.0::DOUBLE AS lo, ln(2.0::DOUBLE) AS hi, 0 AS step FROM listed
+  UNION ALL
+  SELECT skey, target, cells, CASE WHEN over THEN lo ELSE mid END, CASE WHEN over THEN mid ELSE hi END, step + 1
+  FROM (SELECT *, list_sum(list_transform(cells, lambda c: c.n * c.s * least(2.0::DOUBLE, exp(least(700.0, mid * c.s))))) > target AS over FROM (SELECT *, (lo + hi) / 2 AS mid FROM half WHERE step < 200))
+),
+rate AS (
+  SELECT c.skey, c.size, c.n, c.rank, floor((CASE WHEN h.target >= t.source_size * 2.0 * (1 - 1e-12) THEN 2.0 ELSE least(2.0::DOUBLE, exp(least(700.0, h.hi * c.size))) END) * 10000000 + 0.5)::BIGINT AS parts
+  FROM cell c JOIN half h USING (skey) JOIN t USING (skey) WHERE h.step = 200
+),
+-- whole copies, down the sizes
+deal AS (
+  SELECT skey, 0::BIGINT AS rank, 0::BIGINT AS size, 0::BIGINT AS n, 0::BIGINT AS k, 0.0::DOUBLE AS carried FROM t
+  UNION ALL
+  SELECT skey, rank, size, n, k, CASE WHEN size = 0 THEN have ELSE have - k::DOUBLE * size::DOUBLE END
+  FROM (
+    SELECT *, CASE WHEN size = 0 THEN floor(n::DOUBLE * parts::DOUBLE / 10000000 + 0.5)::BIGINT ELSE least(greatest(floor(have / size::DOUBLE + 0.5)::BIGINT, 0), 2 * n) END AS k
+    FROM (SELECT r.skey, r.rank, r.size, r.n, r.parts, deal.carried + r.n::DOUBLE * r.parts::DOUBLE * r.size::DOUBLE / 10000000 AS have FROM deal JOIN rate r ON r.skey = deal.skey AND r.rank = deal.rank + 1)
+  )
+),
+nth AS (SELECT *, row_number() OVER (PARTITION BY skey, size ORDER BY hash, doc_id) AS i FROM d)
+SELECT doc_id, nth.size, source_size, target, nth.size * (k * i // n - k * (i - 1) // n) AS taken
+FROM nth JOIN deal ON deal.skey = nth.skey AND deal.size = nth.size AND deal.rank > 0 JOIN t ON t.skey = nth.skey
 """
 
 _ESCAPED = r"""length(replace({0}, '\', '\\')) + len(regexp_extract_all({0}, '<\||</?s>|<</?SYS>>|\[/?INST\]'))"""
