@@ -1,8 +1,9 @@
 r"""Chat formatting of typed content parts.
 
-A visitor walks the parts of each message in order: text becomes escaped text;
-an image, audio or document part becomes a placeholder, and its reference,
-place and expanded token count are recorded.  Messages are then marked as
+A visitor walks the parts of each message in order: texts become escaped text,
+adjacent ones as the one text that they are; an image, audio or document part
+becomes a placeholder, and its reference, place and expanded token count are
+recorded.  Messages are then marked as
 
     <|turn|>ROLE<|text|>BODY<|end|>\n
 
@@ -21,6 +22,7 @@ Defined cases: null text, null role and null parts are empty; a part of null
 type is text, one of an unknown type is an attachment of no tokens; turns
 order by number, nulls first, then by role and content; equal rows are all
 kept; a null conversation id is one conversation; no rows, no conversations.
+Placeholders of unknown types begin with ``part_``, so none can be taken for a mark.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 CONTROL = r"(<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\]))"
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+KINDS = ("image", "audio", "document")
 PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25.0, 768
 
 
@@ -66,9 +69,20 @@ def expanded_tokens(p: Column) -> Column:
 
 
 def visit(parts: Column) -> Column:
-    """Body of a message: texts escaped, attachments as placeholders, in order."""
-    one = lambda p: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), F.regexp_replace(p["type"], r"[^A-Za-z0-9_]", "_"), F.lit("|>")))
-    return F.coalesce(F.array_join(F.transform(parts, one), ""), F.lit(""))
+    """Body of a message: texts escaped, attachments as placeholders, in order.
+
+    A control string may be dealt over adjacent texts, so these are joined
+    before they are escaped.
+    """
+    kind = lambda p: F.when(p["type"].isin(*KINDS), p["type"]).otherwise(F.concat(F.lit("part_"), F.regexp_replace(p["type"], r"[^A-Za-z0-9_]", "_")))
+    state = lambda done, text: F.struct(done.alias("done"), text.alias("text"))
+
+    def step(s: Column, p: Column) -> Column:
+        placed = F.concat(s["done"], escape(s["text"]), F.lit("<|"), kind(p), F.lit("|>"))
+        return F.when(_is_text(p), state(s["done"], F.concat(s["text"], F.coalesce(p["text"], F.lit(""))))).otherwise(state(placed, F.lit("")))
+
+    body = F.aggregate(parts, state(F.lit(""), F.lit("")), step, lambda s: F.concat(s["done"], escape(s["text"])))
+    return F.coalesce(body, F.lit(""))
 
 
 def attachments(parts: Column) -> Column:
