@@ -9,14 +9,18 @@ aligned columns, and preformatted text as it is.
 Scale: row by row in one pass, no shuffle; a page is held by one task.
 
 Defined cases: null html gives null, empty html and html without visible text
-the empty string; broken markup never fails nor ends the text; elements nested deeper than
-``DEEPEST`` join their ancestor at that depth; very wide tables pad no cell
-beyond ``WIDEST`` characters; repeated rows give equal results.
+the empty string; broken markup never fails nor ends the text; elements may be
+nested to any depth; a table's columns are as wide as their widest cell, but
+where blanks to pad with would come to more than ``PADDING`` times the table's
+own text, so that a page's text grows no faster than the page, the widest cells
+stick out; repeated rows give equal results.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from ..markup import Tokeniser
 from ..shipping import ship
 
-DEEPEST, WIDEST = 200, 60
+PADDING = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas datalist param area".split())
@@ -52,7 +56,6 @@ _CLOSES: dict[str, tuple[frozenset, frozenset]] = {
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: End tags of these don't reach beyond a table cell and its like.
 _SCOPE = frozenset("table td th caption html template".split())
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: What may stand in a head; anything else begins the body.
 _HEAD = frozenset("base link meta title style script noscript template head html".split())
@@ -66,21 +69,30 @@ class Node:
 
 
 class Builder(Tokeniser):
-    """Builds the tree under ``root``; ``path`` holds the open elements."""
+    """Builds the tree under ``root``; ``path`` holds the open elements, ``open`` how many there are of each tag."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.path = [self.root]
+        self.open: Counter[str] = Counter()
+
+    def _leave(self, k: int) -> None:
+        """Close the open elements from number k on."""
+        for node in self.path[k:]:
+            self.open[node.tag] -= 1
+        del self.path[k:]
 
     def _close(self, tags: frozenset, scope: frozenset) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for k in range(len(self.path) - 1, 0, -1):
             tag = self.path[k].tag
             if tag in tags:
                 # all of those that are open one in another go together
                 while k > 1 and self.path[k - 1].tag in tags:
                     k -= 1
-                del self.path[k:]
+                self._leave(k)
                 return
             if tag in scope:
                 return
@@ -95,21 +107,20 @@ class Builder(Tokeniser):
         if tag in _ENDS_P:
             self._close(frozenset(["p"]), _SCOPE | {"button"})
         if tag in _HEADINGS and self.path[-1].tag in _HEADINGS:
-            self.path.pop()
+            self._leave(len(self.path) - 1)
         if tag in _CLOSES:
             self._close(*_CLOSES[tag])
         if tag in ("td", "th") and self.path[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._open("tr", {})
-        node = self._open(tag, dict(attrs))
+        self._open(tag, dict(reversed(attrs)))  # of equal attributes the first counts
         if tag in VOID:
-            self.path.remove(node) if node is self.path[-1] else None
+            self._leave(len(self.path) - 1)
 
-    def _open(self, tag: str, attrs: dict) -> Node:
+    def _open(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         self.path[-1].children.append(node)
-        if len(self.path) < DEEPEST:
-            self.path.append(node)
-        return node
+        self.path.append(node)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
@@ -121,30 +132,66 @@ class Builder(Tokeniser):
         if tag in ("html", "body") or tag in VOID:
             return
         tags = _HEADINGS if tag in _HEADINGS else frozenset([tag])
+        if not any(self.open[t] for t in tags):
+            self._stray(tag)
+            return
         scope = _LISTS | _SCOPE if tag == "li" else frozenset(["table"]) if tag in ("tr", "td", "th", "thead", "tbody", "tfoot") else frozenset() if tag in ("table", "template") else _SCOPE
         for k in range(len(self.path) - 1, 0, -1):
             if self.path[k].tag in tags:
-                del self.path[k:]
+                self._leave(k)
                 return
             if self.path[k].tag in scope:
                 return
             if tag not in BLOCK and self.path[k].tag in BLOCK:
                 return  # an inline end tag doesn't close blocks
+
+    def _stray(self, tag: str) -> None:
         if tag == "p":
             self._open("p", {})
-            self.path.pop() if self.path[-1].tag == "p" else None
+            self._leave(len(self.path) - 1)
 
     def handle_data(self, data: str) -> None:
         if self.path[-1].tag == "head" and data.strip():
-            self.path.pop()
+            self._leave(len(self.path) - 1)
         self.path[-1].children.append(data)
 
 
-def visible(node: Node) -> bool:
+def _declared(node: Node) -> dict[str, str]:
+    """Declarations of the style attribute; of several for a property the last counts."""
+    out = {}
+    for declaration in (node.attrs.get("style") or "").split(";"):
+        name, _, value = declaration.partition(":")
+        if words := value.lower().replace("!", " ").split():
+            out[name.strip().lower()] = words[0]
+    return out
+
+
+def show(node: Node, seen: bool = True) -> Node | None:
+    """The tree without what isn't shown; None if that is all.
+
+    What isn't displayed goes with all in it.  What is only invisible keeps its
+    place, without texts, and what is in it may be visible again.
+    """
     if node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs):
-        return False
-    style = node.attrs.get("style")
-    return not (style and _UNSEEN.search(style))
+        return None
+    style = _declared(node) if "style" in node.attrs else {}
+    if style.get("display") == "none" or style.get("content-visibility") == "hidden":
+        return None
+    own = style.get("visibility")
+    if own == "collapse" and node.tag in ("tr", "thead", "tbody", "tfoot"):
+        return None
+    if own not in (None, "inherit", "unset"):
+        seen = own not in ("hidden", "collapse")
+    if node.tag == "input" and not seen:
+        return None
+    out = Node(node.tag, node.attrs)
+    for c in node.children:
+        if isinstance(c, str):
+            if seen:
+                out.children.append(c)
+        elif kept := show(c, seen):
+            out.children.append(kept)
+    return out
 
 
 class Lines:
@@ -199,8 +246,6 @@ def _listed(node: Node) -> list[str]:
         if isinstance(child, Node) and child.tag == "li":
             out += rest.lines
             rest = Lines()
-            if not visible(child):
-                continue
             own = child.attrs.get("value") or ""
             number = int(own) if ordered and re.fullmatch(r"-?\d{1,9}", own) else number
             marker = f"{number}. " if ordered else "- "
@@ -216,17 +261,84 @@ def _listed(node: Node) -> list[str]:
     return out + rest.lines
 
 
-def _rows(node: Node) -> list[Node]:
-    out = []
+def _sections(node: Node) -> list[list[Node]]:
+    """Rows by section; rows outside of any are sections by their runs."""
+    out: list[list[Node]] = []
+    loose = False
     for child in node.children:
-        if isinstance(child, Node) and visible(child):
-            out += [child] if child.tag == "tr" else _rows(child) if child.tag in ("thead", "tbody", "tfoot") else []
+        if isinstance(child, Node):
+            if child.tag == "tr":
+                out[-1].append(child) if loose else out.append([child])
+                loose = True
+            elif child.tag in ("thead", "tbody", "tfoot"):
+                out += _sections(child)
+                loose = False
     return out
 
 
-def _span(cell: Node) -> int:
-    s = cell.attrs.get("colspan") or "1"
-    return min(max(int(s), 1), 1000) if re.fullmatch(r"\d{1,6}", s) else 1
+def _number(cell: Node, name: str, most: int) -> int:
+    s = (cell.attrs.get(name) or "1").strip()
+    return min(int(s), most) if re.fullmatch(r"[0-9]{1,9}", s) else 1
+
+
+def _grid(sections: list[list[Node]]) -> list[list[tuple[int, int, list[str]]]]:
+    """By row, (column, columns, lines) of its cells; a cell over several rows keeps its columns from the rows below."""
+    grid = []
+    for rows in sections:
+        taken: dict[int, int] = {}  # rows still to be kept free, by column
+        for nth, row in enumerate(rows):
+            cells, extra, at = [], [], 0
+            now, taken = taken, {c: n - 1 for c, n in taken.items() if n > 1}
+            for c in row.children:
+                if not (isinstance(c, Node) and c.tag in ("td", "th")):
+                    extra.append(c)
+                    continue
+                while at in now:
+                    at += 1
+                wide, high = max(1, _number(c, "colspan", 1000)), _number(c, "rowspan", 65534)
+                cells.append((at, wide, _box(c.children)))
+                down = (high or len(rows)) - 1
+                if down and nth + 1 < len(rows):
+                    taken.update({x: max(down, taken.get(x, 0)) for x in range(at, at + wide)})
+                at += wide
+            if lines := _box(extra):
+                while at in now:
+                    at += 1
+                cells.append((at, 1, lines))
+            grid.append(cells)
+    # columns at which no cell begins are no columns of their own
+    n = 1 + max((at for row in grid for at, *_ in row), default=0)
+    return [[(at, min(wide, n - at), lines) for at, wide, lines in row] for row in grid]
+
+
+def _fitting(sizes: list[int], budget: int) -> int:
+    """The greatest size up to which all smaller ones may be padded."""
+    sizes = sorted(sizes)
+    less = sum(sizes)
+    for k in range(len(sizes) - 1, 0, -1):
+        less -= sizes[k]
+        if k * sizes[k] - less <= budget:
+            return sizes[k]
+    return sizes[0] if sizes else 0
+
+
+def _widths(grid: list[list[tuple[int, int, list[str]]]]) -> dict[int, int]:
+    """The width of each column."""
+    by_column: dict[int, list[int]] = {}
+    for row in grid:
+        for at, wide, lines in row:
+            if wide == 1:
+                by_column.setdefault(at, []).append(max(map(len, lines), default=0))
+    budget = PADDING * (1024 + sum(len(x) for row in grid for *_, lines in row for x in lines))
+    most = max((n * max(sizes) for sizes in by_column.values() if (n := len(sizes))), default=0)
+    width = {at: max(sizes) if most <= budget else _fitting(sizes, budget) for at, sizes in by_column.items()}
+    for row in grid:
+        for at, wide, lines in row:
+            if wide > 1:
+                short = max(map(len, lines), default=0) - sum(width.get(x, 0) for x in range(at, at + wide)) - 3 * (wide - 1)
+                if 0 < short * len(grid) <= budget:
+                    width[at + wide - 1] = width.get(at + wide - 1, 0) + short
+    return width
 
 
 def _table(node: Node) -> list[str]:
@@ -236,36 +348,19 @@ def _table(node: Node) -> list[str]:
     for child in node.children:
         if not (isinstance(child, Node) and child.tag in ("tr", "thead", "tbody", "tfoot", "col", "colgroup")):
             loose.append(child)
-        elif isinstance(child, Node) and child.tag in ("thead", "tbody", "tfoot") and visible(child):
+        elif child.tag in ("thead", "tbody", "tfoot"):
             loose += [c for c in child.children if not (isinstance(c, Node) and c.tag == "tr")]
     _into(out, loose)
     out.end()
-    grid: list[list[tuple[int, list[str]]]] = []
-    for row in _rows(node):
-        cells, extra = [], []
-        for c in row.children:
-            if isinstance(c, Node) and c.tag in ("td", "th"):
-                if visible(c):
-                    cells.append((_span(c), _box(c.children)))
-            else:
-                extra.append(c)
-        if lines := _box(extra):
-            cells.append((1, lines))
-        grid.append(cells)
-    width: dict[int, int] = {}
-    for row in grid:
-        at = 0
-        for span, lines in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), min(WIDEST, max(map(len, lines), default=0)))
-            at += span
+    grid = _grid(_sections(node))
+    width = _widths(grid)
     for row in grid:
-        for k in range(max((len(lines) for _, lines in row), default=0)):
-            line, at = [], 0
-            for span, lines in row:
-                w = sum(width.get(x, 0) for x in range(at, at + span)) + 3 * (span - 1)
-                line.append((lines[k] if k < len(lines) else "").ljust(w))
-                at += span
+        for k in range(max((len(lines) for *_, lines in row), default=0)):
+            line, past = [], 0
+            for at, wide, lines in row:
+                line += [" " * width.get(x, 0) for x in range(past, at)]  # columns of cells from above
+                line.append((lines[k] if k < len(lines) else "").ljust(sum(width.get(x, 0) for x in range(at, at + wide)) + 3 * (wide - 1)))
+                past = at + wide
             if text := " | ".join(line).rstrip():
                 out.lines.append(text if text.strip(" |") else "")
     return out.lines
@@ -280,7 +375,7 @@ def _pre(node: Node) -> list[str]:
                 parts.append(c)
             elif c.tag == "br":
                 parts.append("\n")
-            elif visible(c):
+            else:
                 walk(c.children)
 
     walk(node.children)
@@ -298,8 +393,6 @@ def _into(out: Lines, children: list) -> None:
             out.text(c)
             continue
         tag = c.tag
-        if not visible(c):
-            continue
         if tag == "br":
             out.br()
         elif tag == "hr":
@@ -347,7 +440,14 @@ def render(html: str | None) -> str | None:
     builder = Builder()
     builder.feed(html)
     builder.close()
-    return "\n".join(_box(builder.root.children))
+    before = sys.getrecursionlimit()
+    # an element takes up to three calls; calls between Python functions need no machine stack
+    sys.setrecursionlimit(max(before, 10_000 + 4 * html.count("<")))
+    try:
+        root = show(builder.root)
+        return "\n".join(_box(root.children)) if root else ""
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def rendered(pages: DataFrame, html: str = "html", to: str = "rendered") -> DataFrame:
