@@ -11,20 +11,28 @@ text, each begun by the mark for a word start.  A single byte outside every
 piece costs the same in all languages.  Words are scored once per batch,
 whatever their number of occurrences; so the work grows with distinct words.
 
+The words may be of any length.  Beyond ``LONGEST`` bytes the forward pass is
+taken as what it is, a linear map: a word's segments of that many bytes each give
+the map from the sums before them to the sums after them, all at once, and the
+maps are then applied one after another.  So pieces cross segments, and the sum
+is over all segmentations of the whole word.
+
 Scale: one pass over all texts without a shuffle.  The model that is broadcast
 is a few numbers per piece of the vocabulary and language.  It is fitted on
-about ``SAMPLE`` labelled texts of each language, taken by a hash of the id.
+about ``SAMPLE`` labelled texts of each language, taken by a hash of the id, and
+of their words on the ``WORDS`` commonest, by language; for fitting only, words
+of more than ``LONGEST`` bytes are cut, between characters.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0,
 as is every text if nothing is labelled; equal likelihoods go to the first
-language by code point; repeated rows get equal results; words of more than
-``LONGEST`` bytes are scored in pieces of that length.
+language by code point; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +44,14 @@ from ..shipping import ship
 from . import _bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Labelled texts for each language, about.
-SAMPLE = 1_000
-LONGEST, PIECE = 32, 12
+#: Labelled texts for each language, about, and distinct words of all together.
+SAMPLE, WORDS = 1_000, 2_000_000
+#: Bytes of a word that are taken in one go.
+LONGEST = 32
 #: Bytes of text scored at once, and words in one forward pass: these bound a worker's memory.
 BLOCK, PASS = 4 << 20, 10_000
+#: Segments of a long word whose maps are made at once.
+SEGMENTS = 256
 UNKNOWN, ROUNDS, SMOOTH = 1e-7, 3, 0.05
 #: Probabilities are multiplied by this at each byte, so that products keep in range.
 _LIFT = 40.0
@@ -51,12 +62,12 @@ _GAP[97:123] = _GAP[128:] = False
 
 
 def pieces(path: str = VOCABULARY) -> list[bytes]:
-    """Pieces of a sentencepiece vocabulary, of PIECE bytes at most, without controls and capitals."""
+    """Pieces of a sentencepiece vocabulary, without controls, capitals and what no word has: a mark or a byte of a gap inside."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-    return sorted(p.encode() for p in found if p == p.lower() and len(p.encode()) <= PIECE)
+    return sorted(p.encode() for p in found if p == p.lower() and "▁" not in p[1:] and not _GAP[list(p.encode())].any())
 
 
 def _hash_of(words: list[bytes]) -> np.ndarray:
@@ -66,17 +77,18 @@ def _hash_of(words: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """Pieces as sorted hashes, with a quick test that most other strings fail."""
+    """Pieces as sorted hashes, with a quick test that most other strings fail; ``longest`` is the longest piece's bytes."""
 
     hashes: np.ndarray
     quick: np.ndarray
+    longest: int
 
     @staticmethod
     def of(words: list[bytes]) -> Lexicon:
         h = np.unique(_hash_of(words)) if words else np.zeros(0, np.uint64)
         quick = np.zeros(1 << 20, bool)
         quick[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return Lexicon(h, quick)
+        return Lexicon(h, quick, max(map(len, words), default=1))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces, or their count where there is none."""
@@ -90,12 +102,26 @@ class Lexicon:
         return out
 
 
-def lattices(lexicon: Lexicon, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int, np.ndarray, np.ndarray]]]]:
-    """Words by length: (their numbers, the length, arcs).
+def _arcs(lexicon: Lexicon, b: np.ndarray, starts: Iterator[int] | list[int]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Pieces in equally long strings, rows of ``b``: (i, d, rows, piece) for the rows that have a piece of d bytes after i bytes."""
+    m = b.shape[1]
+    sums = np.zeros((len(b), m + 1), np.uint64)
+    np.cumsum(_bytes._BYTE[b] * _bytes._power(_bytes._BASE, m), axis=1, out=sums[:, 1:])
+    inverse = _bytes._power(_bytes._INVERSE, m)
+    head = (b & 0xC0) != 0x80
+    arcs = []
+    for i in starts:
+        for d in range(1, min(lexicon.longest, m - i) + 1):
+            h = _bytes.mix((sums[:, i + d] - sums[:, i]) * inverse[i] + np.uint64(d * 0xD6E8FEB86659FD93 % 2**64))
+            p = lexicon.find(h)
+            rows = np.flatnonzero((p < len(lexicon.hashes)) & head[:, i])
+            if len(rows):
+                arcs.append((i, d, rows, p[rows]))
+    return arcs
 
-    An arc (i, d, rows, piece) holds the words that have a piece of d bytes
-    after i bytes; lengths count the word's start mark.
-    """
+
+def lattices(lexicon: Lexicon, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int, np.ndarray, np.ndarray]]]]:
+    """Words by length: (their numbers, the length, arcs as of ``_arcs``); lengths count the word's start mark."""
     mark = np.frombuffer(_START, np.uint8)
     length = ends - starts
     for n in np.unique(length):
@@ -106,21 +132,7 @@ def lattices(lexicon: Lexicon, raw: np.ndarray, starts: np.ndarray, ends: np.nda
             b = np.empty((len(own), m), np.uint8)
             b[:, : len(mark)] = mark
             b[:, len(mark) :] = raw[starts[own][:, None] + np.arange(n)]
-            sums = np.zeros((len(own), m + 1), np.uint64)
-            np.cumsum(_bytes._BYTE[b] * _bytes._power(_bytes._BASE, m), axis=1, out=sums[:, 1:])
-            inverse = _bytes._power(_bytes._INVERSE, m)
-            head = (b & 0xC0) != 0x80
-            arcs = []
-            for i in range(m):
-                if 0 < i < len(mark):
-                    continue
-                for d in range(1, min(PIECE, m - i) + 1):
-                    h = _bytes.mix((sums[:, i + d] - sums[:, i]) * inverse[i] + np.uint64(d * 0xD6E8FEB86659FD93 % 2**64))
-                    p = lexicon.find(h)
-                    rows = np.flatnonzero((p < len(lexicon.hashes)) & head[:, i])
-                    if len(rows):
-                        arcs.append((i, d, rows, p[rows]))
-            yield own, m, arcs
+            yield own, m, _arcs(lexicon, b, [0, *range(len(mark), m)])
 
 
 def _steps(arcs: list, m: int) -> list[list]:
@@ -144,11 +156,56 @@ def forward(arcs: list, n: int, m: int, prob: np.ndarray) -> np.ndarray:
     return a
 
 
+def _maps(lexicon: Lexicon, prob: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of ``longest`` bytes and a segment each: the maps, rows x longest x longest x languages, from the sums at the last ``longest`` places before a segment to those at its end."""
+    p, m = lexicon.longest, b.shape[1]
+    a = np.zeros((m + 1, len(b), p, prob.shape[1]))
+    a[np.arange(1, p + 1), :, np.arange(p)] = 1  # the state before: places 1 to p
+    lift = _LIFT ** np.arange(m + 1)
+    for z, ending in enumerate(_steps(_arcs(lexicon, b, range(1, m)), m)):
+        if z > p:
+            a[z] = a[z - 1] * (UNKNOWN * _LIFT)
+            for i, d, rows, piece in ending:
+                a[z, rows] += a[i, rows] * (prob[piece] * lift[d])[:, None, :]
+    return np.moveaxis(a[m + 1 - p :], 0, 1)
+
+
+def _long_words(lexicon: Lexicon, prob: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """log P of words of any length in each language."""
+    p, mark = lexicon.longest, np.frombuffer(_START, np.uint8)
+    out = np.zeros((len(starts), prob.shape[1]))
+    state = np.zeros((p, prob.shape[1]))
+
+    def segments() -> Iterator[tuple[int, bool, np.ndarray]]:
+        for w in range(len(starts)):
+            # bytes of value 0 are in no piece: they stand before the word, and make its first segment a whole one
+            fill = -(len(mark) + int(ends[w] - starts[w])) % LONGEST
+            b = np.concatenate((np.zeros(p + fill, np.uint8), mark, raw[starts[w] : ends[w]]))
+            out[w] = -fill * np.log(UNKNOWN * _LIFT) - (len(b) - p - fill) * np.log(_LIFT)
+            for at in range(0, len(b) - p, LONGEST):
+                yield w, at == 0, b[at : at + p + LONGEST]
+
+    some = segments()
+    while batch := list(islice(some, SEGMENTS)):
+        for (w, first, _), one in zip(batch, _maps(lexicon, prob, np.stack([b for *_, b in batch])), strict=True):
+            if first:
+                state[:] = 0
+                state[-1] = 1
+            state[:] = np.einsum("zsl,sl->zl", one, state)
+            most = state[-1].copy()  # the sum at the end is never 0
+            state /= most
+            out[w] += np.log(most)
+    return out
+
+
 def log_likelihood(lexicon: Lexicon, prob: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """log P of each word (a span of ``raw``, of LONGEST bytes at most) in each language."""
+    """log P of each word (a span of ``raw``) in each language."""
     out = np.zeros((len(starts), prob.shape[1]))
-    for own, m, arcs in lattices(lexicon, raw, starts, ends):
-        out[own] = np.log(forward(arcs, len(own), m, prob)[m]) - m * np.log(_LIFT)
+    short = np.flatnonzero(ends - starts <= LONGEST)
+    for own, m, arcs in lattices(lexicon, raw, starts[short], ends[short]):
+        out[short[own]] = np.log(forward(arcs, len(own), m, prob)[m]) - m * np.log(_LIFT)
+    long = np.flatnonzero(ends - starts > LONGEST)
+    out[long] = _long_words(lexicon, prob, raw, starts[long], ends[long])
     return out
 
 
@@ -188,17 +245,23 @@ class Model:
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of lower-cased texts, and the words' starts, ends and offsets by text; long words are cut."""
+    """Bytes of lower-cased texts, and the words' starts, ends and offsets by text."""
     b, offsets = _bytes.text_bytes(texts)
-    starts, ends, by_text = _bytes.runs(b, offsets, _GAP)
-    n = -(-(ends - starts) // LONGEST)
-    if len(n) and n.max() > 1:
-        first = np.concatenate(([0], np.cumsum(n)))
-        nth = np.arange(first[-1]) - np.repeat(first[:-1], n)
-        starts, last = np.repeat(starts, n) + nth * LONGEST, np.repeat(ends, n)
-        ends = np.minimum(starts + LONGEST, last)
-        by_text = first[by_text]
-    return b, starts, ends, by_text
+    return b, *_bytes.runs(b, offsets, _GAP)
+
+
+def _cut(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same words, those of more than LONGEST bytes in parts, cut between characters."""
+    n = -(-(ends - starts) // (LONGEST - 3))
+    n[ends - starts <= LONGEST] = 1
+    first = np.concatenate(([0], np.cumsum(n)))
+    nth = np.arange(first[-1]) - np.repeat(first[:-1], n)
+    at, last = np.repeat(starts, n) + nth * (LONGEST - 3), np.repeat(ends, n)
+    for _ in range(3):  # on to a character's first byte
+        at = at + ((nth > 0) & (at < last) & ((b[np.minimum(at, len(b) - 1)] & 0xC0) == 0x80))
+    past = np.append(at[1:], 0)
+    past[first[1:] - 1] = ends
+    return at[past > at], past[past > at]
 
 
 def _distinct(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,12 +293,14 @@ def train(docs: DataFrame, use: Column, vocabulary: str = VOCABULARY, sample: in
         for batch in batches:
             for lg in batch.column(0).unique():
                 b, starts, ends, _ = words_of(batch.column(1).filter(pa.compute.equal(batch.column(0), lg)))
+                starts, ends = _cut(b, starts, ends)
                 one, which = _distinct(b, starts, ends)
                 raw = b.tobytes()
                 w = [raw[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([lg.as_py()] * len(w), pa.string()), pa.array(w, pa.binary()), pa.array(np.bincount(which, minlength=len(w)).astype(np.int64))], names=["lang", "word", "n"])
 
-    counted = some.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).toPandas()
+    counted = some.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counted = counted.orderBy(F.desc("n"), "word", "lang").limit(WORDS).toPandas()
     words = sorted({bytes(w) for w in counted["word"]})
     if not words:
         return Model([], lexicon, np.zeros((len(lexicon.hashes), 0)))
