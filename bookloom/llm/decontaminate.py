@@ -7,10 +7,11 @@ once; the end of each match leads to a word number, and words lead back to
 offsets in the original text.
 
 Scale: texts are never shuffled and never leave their task.  What is broadcast
-grows with the benchmark only, and its size is checked: beyond ``block_words``
-words the windows are dealt to several automata, each broadcast by itself and
-scanned over the same partition one after another, so that a task holds one
-automaton at a time.
+are the benchmark's texts; workers make the windows of them.  The size is
+checked: beyond ``block_words`` words the items are dealt to several automata,
+each broadcast by itself, and the driver reads one block at a time.  A task then
+holds ``BUFFER`` bytes of texts and one automaton, and takes one automaton after
+another over them; with a single automaton, it is built once for a partition.
 
 Defined cases: null and empty texts have no words and are never contaminated;
 null items have no windows; equal windows of several items count for each of
@@ -34,6 +35,9 @@ WINDOW = 13
 #: Words of the benchmark in one automaton (a few hundred bytes each).
 BLOCK_WORDS = 1_000_000
 
+#: Bytes of texts that are scanned with one automaton before the next is built.
+BUFFER = 64 << 20
+
 #: Byte tables: A-Z to a-z, bytes outside words to a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -118,12 +122,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block
     return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
 
 
-def _patterns(block: DataFrame, window: int) -> list[tuple[str, int, tuple[int, ...]]]:
+def _automata(texts: list[tuple[int, str]], window: int) -> list:
+    """The automaton of a block's windows, or none for no windows."""
     found: dict[str, tuple[int, set[int]]] = {}
-    for item, text in block.toLocalIterator():
+    for item, text in texts:
         for w in windows(text, window):
             found.setdefault(_pattern(w), (len(w), set()))[1].add(item)
-    return [(p, n, tuple(sorted(items))) for p, (n, items) in found.items()]
+    return [automaton([(p, n, tuple(sorted(items))) for p, (n, items) in found.items()])] if found else []
 
 
 def contamination(
@@ -143,20 +148,20 @@ def contamination(
     """
     ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    parts = [sc.broadcast(_patterns(b, window)) for b in _blocks(benchmark, item_id, item_text, window, block_words)]
+    parts = [sc.broadcast([(r.item, r.text) for r in b.toLocalIterator()]) for b in _blocks(benchmark, item_id, item_text, window, block_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = [automaton(parts[0].value)] if len(parts) == 1 and parts[0].value else []
+        one = _automata(parts[0].value, window) if len(parts) == 1 else []
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.int64()))]
             + [(c, pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())]))) for c, a, b in (("word_spans", "first", "past"), ("char_spans", "start", "end"))]
         )
-        for batch in batches:
-            out = []
+        for ids, texts in batches_of(batches, len(parts) > 1):
             if len(parts) == 1:
-                found = ((d, scan(t.as_py(), one)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+                found = ((d, scan(t.as_py(), one)) for d, t in zip(ids.to_pylist(), texts, strict=True))
             else:
-                found = zip(batch.column(0).to_pylist(), _in_blocks(batch.column(1), parts), strict=True)
+                found = zip(ids.to_pylist(), _in_blocks(texts, parts, window), strict=True)
+            out = []
             for d, (n, hit, items, spans, raw, folded) in found:
                 out.append(
                     {
@@ -170,22 +175,33 @@ def contamination(
                 )
             yield pa.RecordBatch.from_pylist(out, schema)
 
+    def batches_of(batches: Iterator[pa.RecordBatch], together: bool) -> Iterator[tuple]:
+        kept, size = [], 0
+        for batch in batches:
+            kept, size = [*kept, batch], size + batch.nbytes
+            if not together or size >= BUFFER:
+                yield tuple(pa.chunked_array([b.column(k) for b in kept]) for k in (0, 1))
+                kept, size = [], 0
+        if kept:
+            yield tuple(pa.chunked_array([b.column(k) for b in kept]) for k in (0, 1))
+
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SPANS)
 
 
-def _in_blocks(texts: pa.Array, parts: list) -> list[tuple]:
-    """scan() of a batch with one automaton in memory at a time."""
+def _in_blocks(texts: pa.ChunkedArray, parts: list, window: int) -> list[tuple]:
+    """scan() of texts with one automaton in memory at a time; what they scan to is kept for texts with hits only."""
     merged: list[list] = []
     for part in parts:
-        a = [automaton(part.value)] if part.value else []
+        a = _automata(part.value, window)
         for k, t in enumerate(texts):
             n, hit, items, _, raw, folded = scan(t.as_py(), a)
             if k == len(merged):
-                merged.append([n, hit, items, [], raw, folded])
-            else:
+                merged.append([n, None, set(), [], b"", b""])
+            if hit is not None:
                 m = merged[k]
-                m[1] = m[1] if hit is None else hit if m[1] is None else m[1] | hit
+                m[1] = hit if m[1] is None else m[1] | hit
                 m[2] |= items
+                m[4:] = raw, folded
     for m in merged:
         if m[1] is not None:
             step = np.flatnonzero(np.diff(np.concatenate(([0], m[1].astype(np.int8), [0]))))
