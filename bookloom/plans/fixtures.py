@@ -54,6 +54,9 @@ SPACED = "replace(coalesce(text, ''), {nl}, case doc_id % 4 when 0 then {nl} whe
 
 BOOK = "concat(coalesce(source, 'none'), '-', cast(cast(floor(doc_id / 1000) as bigint) as {str}))"
 
+#: Every fifth document twenty times, every tenth with chapters before, every fifteenth on one line.
+LONG = "case when doc_id % 15 = 0 then repeat(replace(coalesce(text, ''), {nl}, ' '), 20) when doc_id % 5 = 0 then concat(case when doc_id % 10 = 0 then concat('Chapter 1', {nl}, {nl}, 'a', {nl}, {nl}, 'Chapter 2', {nl}, {nl}) else '' end, repeat(concat(coalesce(text, ''), {nl}), 20)) else coalesce(text, '') end"
+
 #: A line for each heading rule, for and against.
 LINES = [
     "Chapter 1", "CHAPTER XIV. The Storm", "chapter one", "Part II", "Book 3: Rome", "Prologue", "Epilogue - After", "Prefaces", "1. The Start", "12. lower case", "iv. The Fourth of Them",

@@ -222,9 +222,11 @@ n AS (SELECT book_id, i, count(*) AS n FROM (SELECT book_id, {_index(_strip("tit
 SELECT book_id, (arg_min(i, -n * 100 + i) FILTER (i IS NOT NULL AND n >= 3))::BIGINT AS dominant FROM n GROUP BY book_id"""
 _A, _B = (_q(x) for x in K.WARNING_LINES.split("{}"))
 ORACLE["structure_warning"] = f"""
-WITH {_S}, l AS (SELECT book_id, length(x) AS n, row_number() OVER (PARTITION BY book_id ORDER BY length(x)) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS m FROM (SELECT book_id, unnest(string_split(text, chr(10))) AS x FROM books) WHERE {_strip("x")} <> '')
-SELECT book_id, CASE WHEN length(text) >= 50000 AND n IS NOT NULL THEN '{K.WARNING_HEAD}' || CASE WHEN n > 150 THEN '{_A}' || n || '{_B}' ELSE '{K.WARNING_PATTERN}' END || '{K.WARNING_TAIL}' END AS warning
-FROM books LEFT JOIN (SELECT * FROM l WHERE i = m * 9 // 10) USING (book_id)"""
+WITH {_chapters(f"books AS (SELECT doc_id AS book_id, {X.sql(X.LONG, 'duck')} AS text FROM documents)")},
+k AS (SELECT book_id, count(*) AS chaps FROM chapters GROUP BY book_id),
+lens AS (SELECT book_id, length(x) AS n, row_number() OVER (PARTITION BY book_id ORDER BY length(x)) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS m FROM (SELECT book_id, unnest(string_split(text, chr(10))) AS x FROM books) WHERE {_strip("x")} <> '')
+SELECT book_id AS doc_id, CASE WHEN chaps <= 1 AND length(text) >= 50000 AND n IS NOT NULL THEN '{K.WARNING_HEAD}' || CASE WHEN n > 150 THEN '{_A}' || n || '{_B}' ELSE '{K.WARNING_PATTERN}' END || '{K.WARNING_TAIL}' END AS warning
+FROM books JOIN k USING (book_id) LEFT JOIN (SELECT * FROM lens WHERE i = m * 9 // 10) USING (book_id)"""
 ORACLE["author_guess"] = rf"""
 WITH {X.documents_sql(X.AUTHORED)},
 l AS (SELECT doc_id, {_strip("x")} AS s, k FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 4000), chr(10))) AS x, generate_subscripts(string_split(substr(text, 1, 4000), chr(10)), 1) AS k FROM src) WHERE k <= 80 AND {_strip("x")} <> ''),
