@@ -78,9 +78,13 @@ def _split_wrapped(s: Column, wrap: Column) -> Column:
     return F.array_join(F.concat(first, rest), "")
 
 
+def joined(b: Column, sep: str = " ") -> Column:
+    """Stripped lines as one text."""
+    return F.array_join(F.transform(b, T.strip), sep)
+
+
 def rendered(b: Column, what: Column, wrap: Column) -> Column:
-    s = F.transform(b, T.strip)
-    return F.when(what == "single", T.rstrip(b[0])).when(what == "verse", F.array_join(s, "\n")).when(what == "wrapped", split_wrapped(b, wrap)).otherwise(F.array_join(s, " "))
+    return F.when(what == "single", T.rstrip(b[0])).when(what == "verse", joined(b, "\n")).when(what == "wrapped", split_wrapped(b, wrap)).otherwise(joined(b))
 
 
 def with_blocks(books: DataFrame, text: str = "text") -> DataFrame:
@@ -109,3 +113,8 @@ def clean_text(books: DataFrame, text: str = "text", to: str = "cleaned") -> Dat
     known = F.transform("blocks", lambda b: F.struct(b.alias("b"), features(b, F.col("wrap")).alias("f")))
     texts = F.transform(known, lambda x: T.let(kind(x["f"], F.col("page_mode")), lambda k: rendered(x["b"], k, F.col("wrap"))))
     return rows.withColumn(to, F.array_join(texts, "\n\n\n")).drop("wrap", "blocks", "page_mode")
+
+
+def paragraph_units(books: DataFrame, cleaned: str = "cleaned") -> DataFrame:
+    """(book_id, unit): paragraphs and verse lines of cleaned texts, each as often as it is."""
+    return books.select("book_id", F.explode(F.split(cleaned, "\n+")).alias("unit"))

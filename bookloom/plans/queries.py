@@ -84,7 +84,7 @@ def clean_text(spark, d):
 @query
 def prose_join(spark, d):
     b = F.filter(T.lines(F.col("text")), lambda x: ~T.is_blank(x))
-    return X.documents(spark, d, "coalesce(text, '')").select("doc_id", *_digest(F.array_join(F.transform(b, T.strip), " ")))
+    return X.documents(spark, d, "coalesce(text, '')").select("doc_id", *_digest(blocks.joined(b)))
 
 
 @query
@@ -262,8 +262,8 @@ def title_tokens(spark, d):
 @query
 def paragraph_units(spark, d):
     """Paragraphs and verse lines of the cleaned texts as comparison keys, with their counts by book."""
-    p = blocks.clean_text(X.books(spark, d, X.INDENTED)).select("book_id", F.explode(F.split("cleaned", "\n+")).alias("u"))
-    key = htmlscan.norm_key(htmlscan.fold_key(F.col("u")))
+    p = blocks.paragraph_units(blocks.clean_text(X.books(spark, d, X.INDENTED)))
+    key = htmlscan.norm_key(htmlscan.fold_key(F.col("unit")))
     return p.select("book_id", F.md5(key.cast("binary")).alias("key"), key.alias("k")).where("k <> ''").groupBy("book_id", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
