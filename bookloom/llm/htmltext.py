@@ -22,6 +22,7 @@ import re
 import sys
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -452,13 +453,10 @@ def render(html: str | None) -> str | None:
 
 def rendered(pages: DataFrame, html: str = "html", to: str = "rendered") -> DataFrame:
     """``pages`` with all its columns and ``to``."""
-
     ship(pages.sparkSession)
 
-    @F.pandas_udf("string")
-    def of(pages_html):
-        import pandas as pd
-
-        return pd.Series([render(x if isinstance(x, str) else None) for x in pages_html], dtype=object)
+    @F.arrow_udf("string")
+    def of(pages_html: pa.Array) -> pa.Array:
+        return pa.array([render(x.as_py()) for x in pages_html], pa.string())
 
     return pages.withColumn(to, of(F.col(html).cast("string")))

@@ -336,12 +336,10 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def of(texts):
-        import pandas as pd
-
-        best, score = predict(pa.array(texts, pa.string(), from_pandas=True), held.value)
-        return pd.DataFrame({"lang": np.array(held.value.languages, object)[best], "score": score})
+    @F.arrow_udf("lang string, score double")
+    def of(texts: pa.Array) -> pa.Array:
+        best, score = predict(texts, held.value)
+        return pa.StructArray.from_arrays([pa.array(held.value.languages, pa.string()).take(pa.array(best)), pa.array(score, pa.float64())], ["lang", "score"])
 
     found = docs.withColumn("__bl_lang", of(F.lower(F.col(text).cast("string"))))
     found = found.withColumns({"lang_pred": F.when(has_letter, F.col("__bl_lang.lang")).otherwise("und"), "score": F.when(has_letter, F.col("__bl_lang.score")).otherwise(0.0)})

@@ -7,9 +7,10 @@ numpy over a batch.  Trees are fitted on the driver from a sample of at most
 fixed size; scoring is one pass over all texts without a shuffle.
 
 Defined cases: null and empty texts have the statistics of an empty text and
-get a score too; labelled rows of null id or null label don't count; a label
-repeated for an id counts each time; without labels every score is 0.5, with
-one class only it is near that class; repeated rows get equal scores.
+get a score too; labelled rows of null id or null label don't count; equal
+labels of an id count once, and of several texts of an id one is taken, by hash;
+without labels every score is 0.5, with one class only it is near that class;
+repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -109,16 +110,19 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality
     """Trees fitted on labelled documents for whose ``doc_id`` ``use`` holds."""
     ship(docs.sparkSession)
     rows = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & use)
-    rows = rows.select(F.col(doc_id).alias("id"), (F.col(label) > 0).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    known = docs.join(F.broadcast(rows), F.col(doc_id) == F.col("id")).select("id", "y", F.col(text).cast("string").alias("text"))
+    rows = rows.select(F.col(doc_id).alias("id"), (F.col(label) > 0).cast("int").alias("y")).distinct().orderBy(F.xxhash64("id"), "id", "y").limit(sample)
+    known = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), F.col("d") == F.col("id"))
+    known = known.select("id", "y", "text", F.xxhash64("text").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column(2))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), flat], names=["id", "y", "h", "x"])
 
-    got = known.mapInArrow(run, "id long, y int, x array<double>").toPandas().sort_values(["id", "y"])
+    # one row for each id and label, so at most ``sample`` reach the driver
+    found = known.mapInArrow(run, "id long, y int, h long, x array<double>").groupBy("id", "y").agg(F.min_by("x", "h").alias("x"))
+    got = found.toPandas().sort_values(["id", "y"])
     if not len(got):
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     return fit(np.stack(got["x"].to_numpy()), got["y"].to_numpy(np.float64))
@@ -129,10 +133,8 @@ def scored(docs: DataFrame, model: Trees, text: str = "text", to: str = "score")
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
-
-        return pd.Series(held.value.score(statistics(pa.array(texts, pa.string(), from_pandas=True))))
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(held.value.score(statistics(texts)), pa.float64())
 
     return docs.withColumn(to, of(F.col(text).cast("string")))
