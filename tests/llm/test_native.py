@@ -127,8 +127,7 @@ def dual_by_hand(cells, target, cap=2.0):
     return hi
 
 
-@pytest.mark.parametrize("share", [0.2, 0.9, 1.5, 1.99])
-@pytest.mark.parametrize("prior", [None, "q"])
+@pytest.mark.parametrize("share, prior", [(0.2, None), (0.9, "q"), (1.5, None), (1.99, "q")])
 def test_rates_are_the_tilted_ones_of_least_divergence(spark, share, prior):
     """Rates against the dual's root by halving, and copies against a plain reading of their rounding."""
     rng = random.Random(int(share * 100))
