@@ -10,13 +10,19 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows that go to a Python worker at once, where the session has Spark's own number: whole texts are long.
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+AT_ONCE, SPARKS_OWN = "1000", "10000"
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to all executors, once per application.
+    """Send the package to all executors, once per application, and keep batches small.
 
     Spark's own file server carries it, so driver and executors need no folder
     in common.
     """
+    if spark.conf.get(ROWS) == SPARKS_OWN:
+        spark.conf.set(ROWS, AT_ONCE)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
