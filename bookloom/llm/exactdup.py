@@ -9,9 +9,11 @@ digest are formed anew by their full texts.
 
 Scale: the stream pre-aggregates before its shuffle, so a group that holds a
 third of all rows arrives as a few partial counts; the shuffle and the state
-hold digests, not texts.  Of the texts of hits (a bit set of fixed size picks
-them out) each task sends the least and the greatest by digest, so a hot digest
-is no hot spot; Spark may split the last join where a digest is hot.  The stream goes on from its checkpoint with files that arrive later.
+hold digests, not texts.  One further pass writes the digest of each row, and the
+text where it may be a hit's (a bit set of bounded size tells).  Of these texts
+each task sends the least and the greatest by digest, so a hot digest is no hot
+spot; Spark may split the last join where a digest is hot.  The stream goes on
+from its checkpoint with files that arrive later.
 Only DataFrame functions are used.
 
 Defined cases: null text counts as empty; null ids are never preferred, and a
@@ -26,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, saved, scratch, split_by_keys
+from ._common import ascii_lower, marked_by_keys, saved, scratch, settings
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -51,10 +53,7 @@ def _norm(text: str) -> Column:
 
 def run_stream(spark: SparkSession, path: str, checkpoint: str, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> None:
     """Bring the state under ``checkpoint`` up to date with the Parquet files at ``path``."""
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-    try:
-        for k, v in _STATE.items():
-            spark.conf.set(k, v)
+    with settings(spark, _STATE):
         # as a glob, for a stream's plain path must be a folder
         rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFileAge", _NEVER).parquet(f"{path[:-1]}[{path[-1]}]")
         seen = rows.select(
@@ -64,9 +63,6 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, doc_id: str = "d
         )
         kept = seen.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.max_by("locator", "id").alias("locator"))
         kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -88,14 +84,18 @@ def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, d
     known = saved(state(spark, checkpoint), "dedup_known")
     docs = spark.read.parquet(path).select(F.col(doc_id).cast("long").alias("doc_id"), _norm(text).alias("norm"))
     docs = docs.withColumn("digest", digest(F.col("norm")))
+    hits = saved(known.where("n > 1").select("digest"), "dedup_hits")
+    # one pass: digests of all rows, and the texts of those that may be hits
+    sha = [] if digest is sha256 else [F.sha2(F.col("norm").cast("binary"), 256).alias("sha")]
+    docs = marked_by_keys(docs, hits, ["digest"], "hit").select("doc_id", "digest", *sha, F.when(F.col("hit"), F.col("norm")).alias("norm"))
+    docs = saved(docs, "dedup_rows")
     streamed = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if streamed < (there := docs.count()):
         raise ValueError(f"the state under {checkpoint} has {streamed} of {there} rows of {path}")
-    sha = F.lower(F.hex("digest")) if digest is sha256 else F.sha2(F.col("norm").cast("binary"), 256)
+    sha = F.lower(F.hex("digest")) if digest is sha256 else F.col("sha")
 
     # a digest's texts are all equal if the least and the greatest of them are
-    maybe, _ = split_by_keys(docs, known.where("n > 1").select("digest"), ["digest"])
-    ends = maybe.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    ends = docs.where("norm is not null").groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
     collided = saved(ends.where("least <> greatest").select("digest"), "dedup_collisions")
 
     names = ["doc_id", "keep_id", "group_size", "text_sha256"]
