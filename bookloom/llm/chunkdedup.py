@@ -60,7 +60,7 @@ def cuts(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text = np.searchsorted(offsets, at - 1, "right") - 1
     at = at[(at - offsets[text] >= 16) & (at < offsets[text + 1])]
     for _ in range(3):  # on to the next character's first byte
-        inside = (b[np.minimum(at, n - 1)] & 0xC0) == 0x80
+        inside = (at < n) & ((b[np.minimum(at, n - 1)] & 0xC0) == 0x80)  # the end is no place inside, whatever byte is last
         at = at + inside
     text = np.searchsorted(offsets, at - 1, "right") - 1
     at = np.unique(at[at < offsets[text + 1]])

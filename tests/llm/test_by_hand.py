@@ -103,6 +103,23 @@ def test_substring_dedup_by_hand(spark):
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
 
 
+def test_cuts_inside_the_last_character_of_all():
+    """No step beyond the bytes where the last text ends in a character of several bytes and a cut falls into it."""
+    rng = random.Random(53)
+    inside = 0
+    for k in range(400):
+        texts = [sentence(rng, 3) + "é", "", sentence(rng, rng.randint(3, 12)) + "éñ€\U0001f600"[k % 4], *[""] * (k % 3)]
+        raw = texts[2].encode()
+        b, o = _bytes.text_bytes(pa.array(texts))
+        starts, by = chunkdedup.cuts(b, o)
+        for i, t in enumerate(texts):
+            assert [int(x) - o[i] for x in starts[by[i] : by[i + 1]]] == (cuts_by_hand(t.encode()) if t else [])
+        last = len(raw) - len(texts[2][-1].encode())
+        gear, mask = [int(x) for x in chunkdedup._GEAR], int(chunkdedup._MASK)
+        inside += any(not sum(gear[raw[i - d]] << d for d in range(16)) & mask for i in range(max(15, last), len(raw) - 1))
+    assert inside > 20
+
+
 def test_statistics_by_hand():
     rng = random.Random(52)
     texts = [None, "", " ", "A", "Aa\n\n bB  1!", "É ß \U0001f600", *[sentence(rng, rng.randint(1, 60)).capitalize() + rng.choice(["!", "\n" * 3, " 12 12 12", "#$%"]) for _ in range(40)]]
