@@ -18,9 +18,10 @@ alike; a null id is an id before all others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ._common import repeats, saved, split_by_keys
 
 WINDOW = 3
@@ -63,7 +64,11 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", t
     g = gone.withColumnsRenamed({"__bl_id": "__bl_gid", "__bl_t": "__bl_gt"})
     cut = maybe.join(g, maybe["__bl_id"].eqNullSafe(g["__bl_gid"]) & (maybe["__bl_t"] == g["__bl_gt"]), "left").drop("__bl_gid", "__bl_gt")
     cut = cut.withColumn("__bl_lines", count).withColumn("__bl_gone", F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)))
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.element_at(lines, i + 1)), "\n")
-    cut = cut.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)).drop("gone")
+
+    def left(own: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone"))
+        return F.array_join(F.transform(stay, lambda i: F.element_at(own, i + 1)), "\n")
+
+    cut = cut.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(let(lines, left))).drop("gone")
     clean = clean.withColumn("__bl_lines", count).withColumn("__bl_gone", F.lit(0))
     return cut.unionByName(clean).drop("__bl_id", "__bl_t")

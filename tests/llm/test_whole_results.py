@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from bookloom.llm import chunkdedup, exactdup, htmltext
+from bookloom.llm import chunkdedup, exactdup, htmltext, linededup
 from bookloom.operators import htmlscan
 
 from .helpers import docs, sentence
@@ -58,3 +58,15 @@ def test_substring_dedup_finds_passages_of_just_over_50_words(spark):
     print("missed", sum(s == 0 for s in shares), "under half", sum(s < 0.5 for s in shares), "stays", 1 - sum(shares) / len(shares))
     assert sum(s == 0 for s in shares) <= 2 and sum(s < 0.5 for s in shares) <= 4
     assert sum(shares) > 0.8 * len(shares)
+
+
+def test_line_dedup_splits_a_long_text_once(spark):
+    """Once split anew for each line that stays: 16 times the work for 4 times the lines."""
+    passage, n = "p one\np two\np three\n", 40_000
+    texts = ["".join(f"{word} line {i}\n" for i in range(n)) for word in ("first", "second")]
+    cut = linededup.dedup_lines(docs(spark, [(k, passage + t, "en", "a") for k, t in enumerate(texts)]))
+    began = time.time()
+    got = {r.doc_id: (r.text, r["__bl_lines"], r["__bl_gone"]) for r in cut.collect()}
+    took = time.time() - began
+    assert got == {0: (passage + texts[0], n + 4, 0), 1: (texts[1], n + 4, 3)}
+    assert took < 20
