@@ -82,4 +82,4 @@ def title_case(c: Column) -> Column:
 
 def at_share(sorted_array: Column, tenths: int, of: int = 10) -> Column:
     """The element at index n * tenths / of (rounded down) of a sorted array of n, null if there is none."""
-    return F.try_element_at(sorted_array, (F.floor(F.size(sorted_array) * tenths / of) + 1).cast("int"))
+    return let(sorted_array, lambda a: F.try_element_at(a, (F.floor(F.size(a) * tenths / of) + 1).cast("int")))

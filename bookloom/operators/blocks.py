@@ -87,6 +87,23 @@ def rendered(b: Column, what: Column, wrap: Column) -> Column:
     return F.when(what == "single", T.rstrip(b[0])).when(what == "verse", joined(b, "\n")).when(what == "wrapped", split_wrapped(b, wrap)).otherwise(joined(b))
 
 
+def known(c: Column) -> Column:
+    """Array of a raw text's blocks: lines, wrap, page_mode, the features ``f`` and kind of each.
+
+    One expression, in which all that holds for a whole book is bound before
+    its blocks are gone through: as columns of their own the optimizer would
+    move them into the steps for each block, or into a filter, and so compute
+    them again and again.
+    """
+    text = normalize.canonical(normalize.strip_boilerplate(F.coalesce(c, F.lit(""))))
+    return T.let(text, lambda t: T.let(normalize.wrap_width(t), lambda w: T.let(block_lines(normalize.strip_illustrations(t)), lambda b: T.let(is_page_mode(b), lambda p: _known(b, w, p)))))
+
+
+def _known(blocks: Column, wrap: Column, page_mode: Column) -> Column:
+    one = lambda b, f: F.struct(b.alias("lines"), wrap.alias("wrap"), page_mode.alias("page_mode"), f.alias("f"), kind(f, page_mode).alias("kind"))
+    return F.transform(blocks, lambda b: T.let(features(b, wrap), lambda f: one(b, f)))
+
+
 def with_blocks(books: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``wrap``, ``blocks`` (array of arrays of lines) and ``page_mode`` to books of raw text."""
     books = books.withColumn("__c", normalize.canonical(normalize.strip_boilerplate(F.coalesce(F.col(text), F.lit("")))))
@@ -94,25 +111,29 @@ def with_blocks(books: DataFrame, text: str = "text") -> DataFrame:
     return books.withColumn("page_mode", is_page_mode(F.col("blocks")))
 
 
+def _exploded(books: DataFrame, text: str) -> DataFrame:
+    return books.select("book_id", F.posexplode(known(F.col(text))).alias("block_no", "x"))
+
+
 def block_features(books: DataFrame, text: str = "text") -> DataFrame:
     """A row per block: book_id, block_no, the features, kind and the lines."""
-    rows = with_blocks(books, text).select("book_id", "wrap", "page_mode", F.posexplode("blocks").alias("block_no", "lines"))
-    rows = rows.withColumn("f", features(F.col("lines"), F.col("wrap")))
-    return rows.select("book_id", "block_no", "wrap", "page_mode", "f.*", kind(F.col("f"), F.col("page_mode")).alias("kind"), "lines")
+    return _exploded(books, text).select("book_id", "block_no", "x.wrap", "x.page_mode", "x.f.*", "x.kind", "x.lines")
 
 
 def paragraphs(books: DataFrame, text: str = "text") -> DataFrame:
     """(book_id, block_no, para_no, kind, text)."""
-    rows = block_features(books, text).select("book_id", "block_no", "kind", rendered(F.col("lines"), F.col("kind"), F.col("wrap")).alias("t"))
-    return rows.select("book_id", "block_no", "kind", F.posexplode(F.split("t", "\n\n")).alias("para_no", "text"))
+    rows = _exploded(books, text).select("book_id", "block_no", "x.kind", F.posexplode(F.split(_rendered("x"), "\n\n")).alias("para_no", "text"))
+    return rows.select("book_id", "block_no", "kind", "para_no", "text")
+
+
+def _rendered(x: str | Column) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    return rendered(x["lines"], x["kind"], x["wrap"])
 
 
 def clean_text(books: DataFrame, text: str = "text", to: str = "cleaned") -> DataFrame:
     """``books`` with ``to``: blocks set apart by two blank lines."""
-    rows = with_blocks(books, text)
-    known = F.transform("blocks", lambda b: F.struct(b.alias("b"), features(b, F.col("wrap")).alias("f")))
-    texts = F.transform(known, lambda x: T.let(kind(x["f"], F.col("page_mode")), lambda k: rendered(x["b"], k, F.col("wrap"))))
-    return rows.withColumn(to, F.array_join(texts, "\n\n\n")).drop("wrap", "blocks", "page_mode")
+    return books.withColumn(to, F.array_join(F.transform(known(F.col(text)), _rendered), "\n\n\n"))
 
 
 def paragraph_units(books: DataFrame, cleaned: str = "cleaned") -> DataFrame:

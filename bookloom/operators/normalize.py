@@ -57,8 +57,7 @@ def canonical(c: Column) -> Column:
 def wrap_width(c: Column) -> Column:
     """Length at nine tenths of the lines of over 30 characters; null below 40."""
     long = F.filter(T.lines(c), lambda x: F.length(T.strip(x)) > 30)
-    w = T.at_share(F.sort_array(F.transform(long, lambda x: F.length(x))), 9)
-    return F.when(w >= 40, w)
+    return T.let(T.at_share(F.sort_array(F.transform(long, lambda x: F.length(x))), 9), lambda w: F.when(w >= 40, w))
 
 
 def strip_illustrations(c: Column) -> Column:
