@@ -11,7 +11,7 @@ def plan(spark, name):
     return QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["paragraphs", "clean_text"])
+@pytest.mark.parametrize("name", ["paragraphs", "verse_blocks", "clean_text"])
 def test_blocks_are_made_once(spark, name):
     """Marks of boilerplate are sought once, and lines sorted for the width, the page mode and the median only."""
     p = plan(spark, name)
