@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -13,6 +14,19 @@ _shipped: set[str] = set()
 #: Rows that go to a Python worker at once, where the session has Spark's own number: whole texts are long.
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 AT_ONCE, SPARKS_OWN = "1000", "10000"
+#: Bytes that go to a Python worker at once, likewise: a worker holds a batch several times over, as Arrow, strings and results.
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BYTES_AT_ONCE, SPARKS_OWN_BYTES = "4m", 64 << 20
+#: Characters or bytes of results after which a worker hands them on.
+HELD = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep batches to Python workers small in rows and bytes, so that their memory doesn't grow with the tables."""
+    if spark.conf.get(ROWS) == SPARKS_OWN:
+        spark.conf.set(ROWS, AT_ONCE)
+    if re.sub(r"b$", "", spark.conf.get(BYTES)) == str(SPARKS_OWN_BYTES):
+        spark.conf.set(BYTES, BYTES_AT_ONCE)
 
 
 def ship(spark: SparkSession) -> None:

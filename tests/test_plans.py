@@ -16,3 +16,15 @@ def test_blocks_are_made_once(spark, name):
     """Marks of boilerplate are sought once, and lines sorted for the width, the page mode and the median only."""
     p = plan(spark, name)
     assert p.count("regexp_instr(") == 3 and p.count("sort_array(") == 3
+
+
+def small(spark, name):
+    """Bytes of a batch to Python workers, Spark's own number before, once the query is made."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(64 << 20))
+    plan(spark, name)
+    return spark.conf.get(key)
+
+
+def test_title_tokens_goes_to_python_in_small_batches_and_without_ascii_texts(spark):
+    assert small(spark, "title_tokens") in ("4m", f"{4 << 20}b") and "ArrowEvalPython [of(CASE WHEN NOT" in plan(spark, "title_tokens")
