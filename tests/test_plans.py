@@ -28,3 +28,7 @@ def small(spark, name):
 
 def test_title_tokens_goes_to_python_in_small_batches_and_without_ascii_texts(spark):
     assert small(spark, "title_tokens") in ("4m", f"{4 << 20}b") and "ArrowEvalPython [of(CASE WHEN NOT" in plan(spark, "title_tokens")
+
+
+def test_paragraph_units_folds_each_unit_once(spark):
+    assert small(spark, "paragraph_units") in ("4m", f"{4 << 20}b") and plan(spark, "paragraph_units").count("ArrowEvalPython") == 1
