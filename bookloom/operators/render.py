@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as K
 from ..functions import text as T
-from ..shipping import ship
+from ..shipping import ship, small_batches
 
 #: Archive members have this date, so that a rebuilt file is the same file.
 _DATE = (1980, 1, 1, 0, 0, 0)
@@ -86,6 +86,7 @@ def build_epub(books: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     be packed has its error, and the others go on.
     """
     ship(books.sparkSession)
+    small_batches(books.sparkSession)
     rows = books
     for c, kind in (("cover", "binary"), ("cover_type", "string")):
         rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(kind))

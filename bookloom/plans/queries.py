@@ -220,9 +220,9 @@ def epub_items(spark, d):
     made = _epubs(convert.structure(_structured(spark, d)))
     docs = files.epub_documents(made.select(F.col("book_id").alias("path"), F.col("epub").alias("content"))).where("href like '%chap_%'")
     found = htmlscan.items(docs.withColumn("key", F.concat_ws("#", "path", F.format_string("%06d", "spine_no"))), "key")
-    w = Window.partitionBy("book_id").orderBy("key", "ord")
-    found = found.withColumn("book_id", F.regexp_replace("key", r"#\d+\z", "")).withColumn("n", F.row_number().over(w).cast("long"))
-    return found.select("book_id", "n", "tag", *_digest(F.regexp_replace("text", r"\s+", "")))
+    found = found.select(F.regexp_replace("key", r"#\d+\z", "").alias("book_id"), "key", "ord", "tag", *_digest(F.regexp_replace("text", r"\s+", "")))
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy("key", "ord")).cast("long")
+    return found.select("book_id", n.alias("n"), "tag", "text_md5", "text_chars")
 
 
 @query

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as K
 from ..operators import metadata
-from ..shipping import ship
+from ..shipping import HELD, ship, small_batches
 
 #: Bytes that windows-1252 leaves undefined.
 _UNDEFINED = "[\u0081\u008d\u008f\u0090\u009d]"
@@ -152,18 +152,25 @@ def spine(z: zipfile.ZipFile) -> list[str]:
 def epub_documents(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, spine_no, href, html, error): a row per document of each EPUB, or one with the error."""
     ship(files.sparkSession)
+    small_batches(files.sparkSession)
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
+        whole = lambda out: pd.DataFrame(out, columns=["k", "spine_no", "href", "html", "error"]).astype({"spine_no": "Int32"})
         for f in frames:
-            out = []
+            out, held = [], 0
             for k, c in zip(f["k"], f["c"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(c)) as z:
-                        out += [(k, n, h, z.read(h).decode("utf-8", "replace"), None) for n, h in enumerate(spine(z))]
+                        found = [(k, n, h, z.read(h).decode("utf-8", "replace"), None) for n, h in enumerate(spine(z))]
                 except Exception as e:  # a broken file is a failed row
-                    out.append((k, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["k", "spine_no", "href", "html", "error"]).astype({"spine_no": "Int32"})
+                    found = [(k, None, None, None, f"{type(e).__name__}: {e}")]
+                out += found
+                held += sum(len(x[3] or "") for x in found)
+                if held > HELD:
+                    yield whole(out)
+                    out, held = [], 0
+            yield whole(out)
 
     return files.select(F.col(key).cast("string").alias("k"), F.col(content).alias("c")).mapInPandas(run, "k string, spine_no int, href string, html string, error string").withColumnRenamed("k", key)

@@ -32,3 +32,10 @@ def test_title_tokens_goes_to_python_in_small_batches_and_without_ascii_texts(sp
 
 def test_paragraph_units_folds_each_unit_once(spark):
     assert small(spark, "paragraph_units") in ("4m", f"{4 << 20}b") and plan(spark, "paragraph_units").count("ArrowEvalPython") == 1
+
+
+def test_epub_items_goes_to_python_in_small_batches_and_deals_digests(spark):
+    """Of the Window's rows none holds a text."""
+    assert small(spark, "epub_items") in ("4m", f"{4 << 20}b")
+    p = plan(spark, "epub_items")
+    assert p.index("Window") < p.index("md5(")
