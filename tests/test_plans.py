@@ -39,3 +39,18 @@ def test_epub_items_goes_to_python_in_small_batches_and_deals_digests(spark):
     assert small(spark, "epub_items") in ("4m", f"{4 << 20}b")
     p = plan(spark, "epub_items")
     assert p.index("Window") < p.index("md5(")
+
+
+@pytest.mark.parametrize("name", ["corpus_quantiles"])
+def test_books_are_joined_from_their_documents_once(spark, name):
+    """And chapters are sought once: no second branch, and no filter that seeks them anew."""
+    p = plan(spark, name)
+    assert (p.count("listagg("), p.count("exeunt")) == (1, 1)
+
+
+def test_quantiles_leave_nulls_out(spark):
+    from bookloom.operators import metrics
+
+    rows = spark.createDataFrame([(x,) for x in (5, None, 1, None, 3, 3, None)], "v long")
+    assert tuple(metrics.quantiles(rows, "v").first()) == (1, 3, 3, 5, 5, 5)
+    assert tuple(metrics.quantiles(rows.where("v is null"), "v").first()) == (None,) * 6
