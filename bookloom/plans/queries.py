@@ -298,26 +298,25 @@ def _titles(spark, d) -> DataFrame:
     found = chapters.detect_chapters(_structured(spark, d), "text")
     planted = _table(spark, d, "documents").where("doc_id % 5 = 0").selectExpr("doc_id", f"{X.sql(X.BOOK, 'spark')} AS book_id")
     planted = planted.groupBy("book_id").agg(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: F.array(F.lit("chapter"), (F.floor(x / 5) % 40 + 1).cast("string"))).alias("truth"))
-    rows = chapters.chapter_rows(found).select("book_id", "chap_no", "title")
-    own = metrics.predicted_titles(rows).groupBy("book_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chap_no", "title"))), lambda c: htmlscan.title_tokens(F.lower(c["title"]))).alias("predicted"))
+    own = F.transform(F.filter("chapters", lambda c: metrics.is_predicted(c["title"])), lambda c: htmlscan.title_tokens(F.lower(c["title"])))
     none = F.array().cast("array<array<string>>")
-    both = found.select("book_id").join(own, "book_id", "left").join(planted, "book_id", "left")
-    return both.select("book_id", F.coalesce("truth", none).alias("truth"), F.coalesce("predicted", none).alias("predicted"))
+    both = found.select("book_id", own.alias("predicted")).join(planted, "book_id", "left")
+    return both.select("book_id", F.coalesce("truth", none).alias("truth"), "predicted")
 
 
 @query
 def lcs_titles(spark, d):
     """Planted chapters against those found, in order."""
     both = _titles(spark, d)
-    hits = metrics.aligned(both).join(both.select("book_id", F.size("truth").cast("long").alias("truth"), F.size("predicted").cast("long").alias("predicted")), "book_id")
-    return metrics.scores(hits, "book_id")
+    hits = metrics.aligned(both, keep=("truth", "predicted"))
+    return metrics.scores(hits.select("book_id", "hits", *[F.size(c).cast("long").alias(c) for c in ("truth", "predicted")]), "book_id")
 
 
 @query
 def title_misses(spark, d):
     """The first 15 planted titles missed and found titles false, by book."""
     both = _titles(spark, d)
-    return metrics.unmatched(metrics.aligned(both), both).select("book_id", "side", "n", F.concat_ws(" ", "title").alias("title"))
+    return metrics.unmatched(metrics.aligned(both, keep=("truth", "predicted"))).select("book_id", "side", "n", F.concat_ws(" ", "title").alias("title"))
 
 
 @query
