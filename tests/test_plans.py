@@ -41,7 +41,7 @@ def test_epub_items_goes_to_python_in_small_batches_and_deals_digests(spark):
     assert p.index("Window") < p.index("md5(")
 
 
-@pytest.mark.parametrize("name", ["corpus_quantiles", "quality_checks", "lcs_titles"])
+@pytest.mark.parametrize("name", ["corpus_quantiles", "quality_checks", "lcs_titles", "title_misses"])
 def test_books_are_joined_from_their_documents_once(spark, name):
     """And chapters are sought once: no second branch, and no filter that seeks them anew."""
     p = plan(spark, name)
