@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space, with the four separators that Java leaves out.
 SPACE = r"[\s\x1c-\x1f]"
+#: The same as characters, for trimming: a pattern would look for an end at every white space of a text.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -24,11 +26,11 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){SPACE}+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def indent(c: Column) -> Column:

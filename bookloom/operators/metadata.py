@@ -33,16 +33,20 @@ def _author_line(head: Column) -> Column:
 
 def author_title_line(text: Column) -> Column:
     """The name in a first line like "First Last. Title"; else null."""
-    name = T.strip(F.regexp_extract(F.get(_head_lines(text), F.lit(0)), "(?U)" + K.AUTHOR_TITLE, 1))
-    return F.when(F.size(T.words(name)).between(2, 5), name)
+    return T.let(_head_lines(text), _author_title_line)
+
+
+def _author_title_line(head: Column) -> Column:
+    name = T.strip(F.regexp_extract(F.get(head, F.lit(0)), "(?U)" + K.AUTHOR_TITLE, 1))
+    return T.let(name, lambda n: F.when(F.size(T.words(n)).between(2, 5), n))
 
 
 def suggest_author(text: Column) -> Column:
-    return F.coalesce(author_line(text), author_title_line(text), F.lit(""))
+    return T.let(_head_lines(text), lambda head: F.coalesce(_author_line(head), _author_title_line(head), F.lit("")))
 
 
 def author_or_default(author: Column) -> Column:
-    return F.when(F.coalesce(author, F.lit("")) == "", K.UNKNOWN_AUTHOR).otherwise(author)
+    return T.let(author, lambda a: F.when(F.coalesce(a, F.lit("")) == "", K.UNKNOWN_AUTHOR).otherwise(a))
 
 
 def stem(path: Column) -> Column:

@@ -54,3 +54,21 @@ def test_quantiles_leave_nulls_out(spark):
     rows = spark.createDataFrame([(x,) for x in (5, None, 1, None, 3, 3, None)], "v long")
     assert tuple(metrics.quantiles(rows, "v").first()) == (1, 3, 3, 5, 5, 5)
     assert tuple(metrics.quantiles(rows.where("v is null"), "v").first()) == (None,) * 6
+
+
+def test_stripping_is_by_characters_and_of_the_same_ones(spark):
+    """Every character of the first plane at both ends, against the pattern; and no pattern in the plan."""
+    from pyspark.sql import functions as F
+
+    from bookloom.functions import text as T
+
+    rows = spark.range(1, 65536).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    t = F.concat("c", F.lit(" "), "c", F.lit("a \u3000b"), "c", "c")
+    rows = rows.select(T.strip(t).alias("a"), F.regexp_replace(t, rf"(?U)^{T.SPACE}+|{T.SPACE}+\z", "").alias("b"), T.rstrip(t).alias("c"), F.regexp_replace(t, rf"(?U){T.SPACE}+\z", "").alias("d"))
+    assert rows.where("a <> b or c <> d or length(a) = 0").count() == 0 and rows.where("length(a) = 4").count() > 20
+    assert "regexp" not in spark.range(1).select(T.strip(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_converted_reads_a_head_once(spark):
+    """For the author: the first lines are split off once."""
+    assert plan(spark, "converted").count(", 81)") == 1
