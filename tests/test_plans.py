@@ -72,3 +72,9 @@ def test_stripping_is_by_characters_and_of_the_same_ones(spark):
 def test_converted_reads_a_head_once(spark):
     """For the author: the first lines are split off once."""
     assert plan(spark, "converted").count(", 81)") == 1
+
+
+def test_epub_build_cleans_once(spark):
+    """As ``test_blocks_are_made_once``, with one more sort for repeated titles."""
+    p = plan(spark, "epub_build")
+    assert p.count("regexp_instr(") == 3 and p.count("sort_array(") == 4
